@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from lagweave.functions.instants import DAY_US
 from lagweave.functions.keys import encode_key
 from lagweave.operators.readings import finite, readings
+from lagweave.session import stored
 
 CELLS_PER_OCTAVE = 64
 FAR = 15.0
@@ -104,7 +105,7 @@ def exact_median_mad(counts: DataFrame, cells: DataFrame) -> DataFrame:
     r = ranked(cells, ["k"], ["cell"])
     first, last = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
     wanted = r.where(_holds(first) | _holds(last)).withColumn("before", F.min("below").over(Window.partitionBy("k"))).select("k", "cell", "before", "total")
-    med = _middle(at.join(wanted, ["k", "cell"]), "x", "total").withColumnRenamed("mid", "med")
+    med = stored(_middle(at.join(wanted, ["k", "cell"]), "x", "total").withColumnRenamed("mid", "med"))
 
     d = _distance_cells(cells, med, "med", "med")
     for edge in ("dl", "du"):  # the least and greatest that the MAD can be
@@ -121,17 +122,17 @@ def impossible(x: Column, least: float) -> Column:
     return ~finite(x) | (x < least)
 
 
-def statistics(rows: DataFrame, least: float, fence: float, exact: bool) -> DataFrame:
-    """Per source k: median and MAD (bounds, and exact ones if asked), and the fences of each hour as a map."""
+def statistics(rows: DataFrame, least: float, fence: float) -> DataFrame:
+    """Per source k: bounds of its median and MAD from the merged sketch, the exact ones, and the fences of each hour as a map.
+
+    Every table written on the way has at most one row per source and distinct value.
+    """
     fine = rows.where(~impossible(F.col("x"), least))
-    counts = fine.groupBy("k", "hour", "x").agg(F.count(F.lit(1)).alias("n"))
-    hours = counts.groupBy("k", "hour", cell_of(F.col("x")).alias("cell")).agg(F.sum("n").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
-    cells = merge(hours, ["k"])
-    fences = hour_fences(hours, fence).groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct("hour", F.struct("low", "high")))).alias("fences"), F.max("iqr").alias("iqr"))
-    out = source_bounds(cells).join(fences, "k", "left")
-    if exact:
-        out = out.join(exact_median_mad(counts.groupBy("k", "x").agg(F.sum("n").alias("n")), cells), "k", "left")
-    return out
+    hours = sketch(fine, ["k", "hour"])
+    fences = stored(hour_fences(hours, fence).groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct("hour", F.struct("low", "high")))).alias("fences"), F.max("iqr").alias("iqr")))
+    counts = stored(fine.groupBy("k", "x").agg(F.count(F.lit(1)).alias("n")))
+    cells = counts.groupBy("k", cell_of(F.col("x")).alias("cell")).agg(F.sum("n").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    return stored(source_bounds(cells).join(fences, "k", "left").join(exact_median_mad(counts, cells), "k", "left"))
 
 
 def flag_values(rows: DataFrame, least: float = -100.0, fence: float = FENCE, far: float = FAR, order: str | None = None, rate: float = RATE, stuck: int = STUCK) -> DataFrame:
@@ -142,7 +143,8 @@ def flag_values(rows: DataFrame, least: float = -100.0, fence: float = FENCE, fa
     greater than rate times the source's widest interquartile range) and stuck (in a run of at least `stuck` equal
     values other than zero). Rows must be unique; a NULL x is in no case. block spreads the rows of a source.
     """
-    stats = statistics(rows, least, fence, exact=True)
+    rows = stored(rows)
+    stats = statistics(rows, least, fence)
     blocks = rows.groupBy("k", "block").agg(F.count(F.lit(1)).alias("in_block"))
     if order:
         edges = _edge_runs(rows, order, stuck)
