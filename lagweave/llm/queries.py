@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import functools
+import hashlib
+import pickle
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,9 +96,22 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 FIT_REFERENCE, FIT_TEXTS, FIT_CHARS = 20_000, 1_500, 600
 
 
-@functools.lru_cache(maxsize=4)
-def _fitted(clean: tuple, texts: tuple) -> ByteNet:
-    return fit(list(clean), list(texts))
+_FITTED: dict[int, ByteNet] = {}
+
+
+def _fit_in_task(spark: SparkSession, clean: list[tuple], texts: list[tuple]) -> ByteNet:
+    """The fit runs in one task: Python workers keep to a task's cores, while the driver's matrix library would start threads on all."""
+
+    def run(batches):
+        for batch in batches:
+            for payload in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(*pickle.loads(payload)))], pa.binary())], names=["net"])
+
+    payload = pickle.dumps((clean, texts))
+    key = int.from_bytes(hashlib.sha256(payload).digest()[:8], "big")
+    if key not in _FITTED:
+        _FITTED[key] = pickle.loads(bytes(spark.createDataFrame([(payload,)], "payload binary").mapInArrow(run, "net binary").first()[0]))
+    return _FITTED[key]
 
 
 def language_model(reference: DataFrame, documents: DataFrame, references: int = FIT_REFERENCE, texts: int = FIT_TEXTS, chars: int = FIT_CHARS) -> ByteNet:
@@ -104,7 +119,7 @@ def language_model(reference: DataFrame, documents: DataFrame, references: int =
     clean = reference.where("text IS NOT NULL AND lang IS NOT NULL").orderBy(F.xxhash64("ref_id"), "ref_id").limit(references).select("lang", "text").collect()
     named = documents.select("doc_id", label_language(F.col("lang")).alias("lang"), "text").where(F.col("lang").isNotNull() & F.length("text").between(1, chars))
     loose = named.orderBy(F.xxhash64("doc_id"), "doc_id", "lang", "text").limit(texts).select("lang", "text").collect()
-    return _fitted(tuple(map(tuple, clean)), tuple(map(tuple, loose)))
+    return _fit_in_task(documents.sparkSession, [tuple(r) for r in clean], [tuple(r) for r in loose])
 
 
 def _detected(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
