@@ -17,7 +17,7 @@ from lagweave.llm.percentiles import day_summary, decode, exact_percentiles, mer
 from lagweave.llm.sql import ORACLE  # noqa: F401
 from lagweave.llm.tokens import FOLDER, count_tokens, decode_ids, encode_texts
 from lagweave.llm.top_items import top_items
-from lagweave.session import table
+from lagweave.session import stored, table
 
 CONDITIONS = [f"attr{i}" for i in range(1, 9)]
 PERCENTILES = [0.05, 0.25, 0.5, 0.75, 0.95]
@@ -81,7 +81,7 @@ def p8_containers(spark: SparkSession, sf_dir: str, folder: str = FOLDER) -> Dat
     """Every text's containers, for each row of pack_sizes."""
     packs = table(spark, sf_dir, "pack_sizes")
     names = [r[0] for r in packs.select("tokenizer").distinct().where("tokenizer IS NOT NULL").limit(100).collect()]
-    sizes = count_tokens(table(spark, sf_dir, "documents"), sorted(names), folder=folder)
+    sizes = stored(count_tokens(table(spark, sf_dir, "documents"), sorted(names), folder=folder))
     items = sizes.join(F.broadcast(packs), "tokenizer").select("pack_id", F.col("doc_id").alias("item_id"), "size", F.col("capacity_tokens").alias("capacity"))
     return pack_items(items)
 
