@@ -283,6 +283,7 @@ p AS (SELECT rule_id, regexp_extract(raw, '(?s)^(.+)\\(t-(\\d+)\\)$', 1) AS attr
 ORACLE = {
     "rule_parse": f"WITH {_CONDS_SQL} SELECT rule_id, pos, attr, delay, k, max_d FROM conds JOIN rules USING (rule_id)",
     "pool_conditions": _POOL + "SELECT rule_id, attr, delay, count(*) OVER (PARTITION BY rule_id) AS k, max(delay) OVER (PARTITION BY rule_id) AS max_d FROM p",
+    "rule_text": f"WITH {_CONDS_SQL}, ids AS (SELECT unnest(range(1, 21))::INT AS rule_id), w AS (SELECT rule_id, list(attr || '(t-' || delay || ')' ORDER BY pos) AS c FROM conds GROUP BY rule_id) SELECT rule_id, coalesce(k, 0) AS k, coalesce(max_d, 0) AS max_d, " + ", ".join(f"coalesce(c[{i}], '0') AS attr{i}" for i in range(1, 9)) + " FROM ids LEFT JOIN rules USING (rule_id) LEFT JOIN w USING (rule_id)",
     "attr_summary": f"""WITH {_CONDS_SQL}, w AS (SELECT rule_id, list(attr || '(t-' || delay || ')' ORDER BY pos) AS c FROM conds GROUP BY rule_id)
 SELECT rule_id, array_to_string(c[1:3], ', ') || CASE WHEN len(c) > 3 THEN ' ... (+' || (len(c) - 3) || ')' ELSE '' END AS summary FROM w UNION ALL SELECT 20, ''""",
     "attr_frequency": _POOL + "SELECT attr, count(*) AS n FROM p GROUP BY attr ORDER BY n DESC, attr LIMIT 10",
