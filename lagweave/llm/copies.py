@@ -6,7 +6,8 @@ and fingerprint; each member's conditions are compared with those of the group's
 Members of another set (a collision of fingerprints) are regrouped among themselves by their sorted conditions, so the
 result is exact whatever the hash does.
 
-Scale. Grouping combines on the map side; members meet their group in a join that spreads the heaviest groups.
+Scale. Grouping combines on the map side; members meet their group in a join that spreads the heaviest groups. The
+hashed rows and the labels are written once each, as both are read several times.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from lagweave.functions.keys import decode_key, encode_key
 from lagweave.operators.skew import spread_join
+from lagweave.session import stored
 
 #: Bits of each of the two words; sums of 128 hashes still fit a long.
 HASH_BITS = 56
@@ -46,16 +48,19 @@ def label_copies(df: DataFrame, fields: list[str], group: str, row_id: str, bits
     """
     rows = df.where(F.col(row_id).isNotNull()).select(F.col(row_id).alias("id"), encode_key(F.col(group)).alias("k"), condition_set(fields).alias("conditions"))
     rows = rows.select("*", fingerprint(F.col("conditions"), "condition", 1, bits).alias("f1"), fingerprint(F.col("conditions"), "condition", 2, bits).alias("f2"))
+    rows = stored(rows)
     keys = ["k", "f1", "f2"]
     groups = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "conditions")).alias("head"))
     met = spread_join(rows, groups, keys, "n", "id", least=least_hot)
     same = (F.size("conditions") == F.size("head.conditions")) & (F.size(F.array_except("conditions", "head.conditions")) == 0)
-    met = met.select("id", "k", "conditions", F.col("head.id").alias("first"), same.alias("same"))
-    equal = met.where("same").select("k", "id", "first")
-    strays = met.where("NOT same").select("id", "k", F.array_join(F.array_sort("conditions"), " ").alias("text"))
-    heads = strays.groupBy("k", "text").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
-    rest = spread_join(strays, heads, ["k", "text"], "n", "id", least=least_hot).select("k", "id", "first")
-    return equal.unionByName(rest).select(decode_key(F.col("k")).alias(group), F.col("id").alias(row_id), "first")
+    text = F.when(~same, F.array_join(F.array_sort("conditions"), " "))
+    met = stored(met.select("id", "k", F.col("head.id").alias("first"), text.alias("text")))
+    out = met.where("text IS NULL").select("k", "id", "first")
+    strays = met.where("text IS NOT NULL").select("id", "k", "text")
+    if not strays.isEmpty():
+        heads = strays.groupBy("k", "text").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+        out = out.unionByName(spread_join(strays, heads, ["k", "text"], "n", "id", least=least_hot).select("k", "id", "first"))
+    return out.select(decode_key(F.col("k")).alias(group), F.col("id").alias(row_id), "first")
 
 
 def collapse_copies(df: DataFrame, fields: list[str], group: str, row_id: str, bits: int = HASH_BITS) -> DataFrame:
