@@ -77,12 +77,18 @@ def p7_roundtrip(spark: SparkSession, sf_dir: str, folder: str = FOLDER) -> Data
     return back.select("doc_id", F.md5(F.encode("text", "utf-8")).alias("text_md5"), F.octet_length("text").cast("long").alias("n_bytes"))
 
 
+#: A table of containers' capacities is a setting; its size is checked.
+MOST_PACKS = 1_000
+
+
 def p8_containers(spark: SparkSession, sf_dir: str, folder: str = FOLDER) -> DataFrame:
     """Every text's containers, for each row of pack_sizes."""
-    packs = table(spark, sf_dir, "pack_sizes")
-    names = [r[0] for r in packs.select("tokenizer").distinct().where("tokenizer IS NOT NULL").limit(100).collect()]
-    sizes = stored(count_tokens(table(spark, sf_dir, "documents"), sorted(names), folder=folder))
-    items = sizes.join(F.broadcast(packs), "tokenizer").select("pack_id", F.col("doc_id").alias("item_id"), "size", F.col("capacity_tokens").alias("capacity"))
+    packs = table(spark, sf_dir, "pack_sizes").where("tokenizer IS NOT NULL").select("pack_id", "tokenizer", "capacity_tokens").limit(MOST_PACKS + 1).collect()
+    if len(packs) > MOST_PACKS:
+        raise ValueError(f"more than {MOST_PACKS} packs")
+    sizes = stored(count_tokens(table(spark, sf_dir, "documents"), sorted({p.tokenizer for p in packs}), folder=folder))
+    small = spark.createDataFrame(packs, "pack_id int, tokenizer string, capacity_tokens int")
+    items = sizes.join(F.broadcast(small), "tokenizer").select("pack_id", F.col("doc_id").alias("item_id"), "size", F.col("capacity_tokens").alias("capacity"))
     return pack_items(items)
 
 
