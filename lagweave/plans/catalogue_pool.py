@@ -145,6 +145,23 @@ def head_then_filter(spark, d):
     return pool(spark, d).orderBy("rule_id").limit(500).where("concentration >= 0.40").select("rule_id", "concentration")
 
 
+def derived_ratios(spark, d):
+    """Sharpe ratios, the second value's excess over the first, the ratio of deviations, and a score against the widest deviation of the pool, 1.5 times the greatest local one."""
+    m1, m2, s1, s2 = _means()
+    p = pool(spark, d).withColumn("one", F.lit(1))
+    widest = p.groupBy("one").agg((1.5 * F.max("x_sigma")).alias("assumed"))
+    got = p.join(F.broadcast(widest), "one")
+    sharpe = m1 / (s1 + 1e-6)
+    return got.select("rule_id", sharpe.alias("sharpe1"), (m2 / (s2 + 1e-6)).alias("sharpe2"), ((m2 - m1) / (s2 + 1e-6)).alias("information"), (m2 - m1).alias("excess"), F.try_divide(s2, s1).alias("volatility_ratio"), (sharpe * F.log1p("support_count")).alias("risk_adjusted"), (1 - s1 / F.col("assumed")).alias("reduction"))
+
+
+def instrument_top10(spark, d):
+    """The ten rules with most support of each instrument."""
+    p = pool(spark, d).select("symbol", "rule_id", "support_count", "support_rate", "x_mean", "x_sigma").where("support_count IS NOT NULL")
+    rank = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("support_count"), "rule_id"))
+    return p.withColumn("place", rank).where("place <= 10")
+
+
 FEATURES = ["x_mean", "x_sigma", "x2_mean", "x2_sigma", "support_rate", "concentration", "t_statistic"]
 
 
@@ -198,7 +215,7 @@ def snr_confidence(spark, d):
     p = pool(spark, d).where("x_sigma IS NOT NULL")
     q = quantiles(p, ["symbol"], "x_sigma", [0.25]).select("symbol", F.col("value").alias("q25"))
     snr = F.try_divide(F.abs("x_mean"), F.col("x_sigma"))
-    got = p.join(F.broadcast(q), "symbol").groupBy("symbol").agg(F.avg(snr).alias("mean_snr"), F.max(snr).alias("max_snr"), F.count_if(F.col("x_sigma") <= F.col("q25")).alias("confident"), F.count_if(F.col("x_mean") > 0).alias("n_up"), F.count_if(F.col("x_mean") < 0).alias("n_down"))
+    got = p.join(q, "symbol").groupBy("symbol").agg(F.avg(snr).alias("mean_snr"), F.max(snr).alias("max_snr"), F.count_if(F.col("x_sigma") <= F.col("q25")).alias("confident"), F.count_if(F.col("x_mean") > 0).alias("n_up"), F.count_if(F.col("x_mean") < 0).alias("n_down"))
     return _rounded(got, 6)
 
 
@@ -309,7 +326,7 @@ def sweep_from_matches(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        score_2d, score_cluster_quality, score_rule, score_views, score_composite, score_isotropic, score_normalized, global_top_rules, conditions_summary, instrument_summary, top3_by_instrument, top_comparison, head_then_filter,
+        score_2d, score_cluster_quality, score_rule, score_views, score_composite, score_isotropic, score_normalized, global_top_rules, conditions_summary, instrument_summary, top3_by_instrument, top_comparison, head_then_filter, derived_ratios, instrument_top10,
         outliers_z3, pool_percentiles, pool_describe, pool_correlations, significance_bins, snr_confidence, distribution_bands, insight_counts, dedupe_first_three, dedupe_across_trials, directional_bias, rule_sort_views,
         sweep_summary, sweep_pivot, sweep_best, experiment_totals, sweep_from_matches,
     )
@@ -363,6 +380,9 @@ SELECT symbol, n_rules, round(mean_support, 6) AS mean_support, max_support, min
     "top3_by_instrument": _P + "SELECT symbol, rule_id, concentration, support_count, row_number() OVER (PARTITION BY symbol ORDER BY concentration DESC, rule_id) AS place FROM pool WHERE concentration IS NOT NULL QUALIFY place <= 3",
     "top_comparison": _P + """, t AS (SELECT *, x_mean / (x_sigma + 1e-6) AS sh FROM pool WHERE x_mean IS NOT NULL AND x_sigma > 0 ORDER BY support_count DESC, rule_id LIMIT 10)
 SELECT rule_id, support_count, round(sh, 6) AS sharpe, round(support_count / max(support_count) OVER (), 6) AS support_ratio, round((sh - min(sh) OVER ()) / nullif(max(sh) OVER () - min(sh) OVER (), 0), 6) AS sharpe_scaled FROM t""",
+    "derived_ratios": _P + """SELECT rule_id, x_mean / (x_sigma + 1e-6) AS sharpe1, x2_mean / (x2_sigma + 1e-6) AS sharpe2, (x2_mean - x_mean) / (x2_sigma + 1e-6) AS information, x2_mean - x_mean AS excess, x2_sigma / nullif(x_sigma, 0) AS volatility_ratio,
+  x_mean / (x_sigma + 1e-6) * ln(1 + support_count) AS risk_adjusted, 1 - x_sigma / (1.5 * max(x_sigma) OVER ()) AS reduction FROM pool""",
+    "instrument_top10": _P + "SELECT symbol, rule_id, support_count, support_rate, x_mean, x_sigma, row_number() OVER (PARTITION BY symbol ORDER BY support_count DESC, rule_id) AS place FROM pool WHERE support_count IS NOT NULL QUALIFY place <= 10",
     "head_then_filter": _P + "SELECT rule_id, concentration FROM (SELECT * FROM pool ORDER BY rule_id LIMIT 500) WHERE concentration >= 0.40",
     "outliers_z3": _P + _LONG + """, s AS (SELECT feature, avg(v) AS m, stddev_pop(v) AS s, count(v) AS n FROM long GROUP BY feature)
 SELECT feature, round(m, 9) AS m, round(s, 9) AS s, n, count(*) FILTER (abs(v - m) > 3 * s) AS outliers, round(100 * count(*) FILTER (abs(v - m) > 3 * s) / n, 9) AS percent FROM long JOIN s USING (feature) GROUP BY feature, m, s, n""",

@@ -188,6 +188,27 @@ def gate_report(spark, d):
     return _rounded(mining.gate_report(_mined(spark, d, 2)), 6)
 
 
+def strict_gate_report(spark, d):
+    """The alternative gate over single conditions and pairs."""
+    p = replace(PARAMS, max_sigma=2_500.0)
+    one, two = (mining.with_strict_gate(_mined(spark, d, k, TARGET), p, k, min_count=80, min_mean=50.0).groupBy("reject_reason").agg(F.count(F.lit(1)).alias("rules")).withColumn("conditions", F.lit(k)) for k in (1, 2))
+    return one.unionByName(two)
+
+
+def legacy_values(spark, d):
+    """Own and next value with 0 where there is none."""
+    _, series = _panel(spark, d)
+    return series.select("inst", "i", F.round(F.coalesce("x0", F.lit(0.0)), 6).alias("own"), F.round(F.coalesce("x1", F.lit(0.0)), 6).alias("next"))
+
+
+def three_horizons(spark, d):
+    """Statistics over three future values."""
+    items, _ = _panel(spark, d)
+    series = prep.targets(order_returns(spark, d), horizons=3)
+    m = mt.matches(rules_of(spark), items, series, mt.Range(span=3))
+    return _rounded(mt.rule_stats(_with_depth(spark, m), span=3, horizons=3).select("inst", "rule_id", "support_count", "support_rate", "x3_mean", "x3_sigma", "deviation"))
+
+
 def rule_flags(spark, d):
     got = _mined(spark, d, 1, p=replace(PARAMS, max_sigma=4_000.0))
     return got.select("inst", "rule", "high_support", "low_variance")
@@ -218,7 +239,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         rule_parse, pool_conditions, attr_summary, attr_frequency, match_m1, match_m2, match_m3, match_m4, match_m5, match_m6, match_m7, match_m8, verification_rows, rule_stats, rule_stats_sample_sd, directional_stats,
-        *(_quadrant(k) for k in ("a", "a_total", "b", "c", "e")), quadrant_d, acceptance_test, mine_level1, mine_level2, mine_level3, mine_level2_dedupe, gate_report, rule_flags, q1_validation, rule_text,
+        *(_quadrant(k) for k in ("a", "a_total", "b", "c", "e")), quadrant_d, acceptance_test, mine_level1, mine_level2, mine_level3, mine_level2_dedupe, gate_report, strict_gate_report, legacy_values, three_horizons, rule_flags, q1_validation, rule_text,
     )
 }
 
@@ -327,6 +348,18 @@ SELECT inst, rule_id, CASE WHEN (cx > 0 AND a < -90) OR (cx < 0 AND b > 90) OR (
     + """, g AS (SELECT inst, reject_reason, count(*) AS rules FROM mined GROUP BY ALL)
 SELECT inst, reject_reason, rules, round(100 * rules / sum(rules) OVER (PARTITION BY inst), 6) AS percent,
   reject_reason <> 'passed' AND row_number() OVER (PARTITION BY inst, reject_reason = 'passed' ORDER BY rules DESC, reject_reason) = 1 AS bottleneck FROM g""",
+    "strict_gate_report": " UNION ALL ".join(
+        "SELECT * FROM (" + _level_sql(k, target=TARGET) + f"""SELECT CASE WHEN support_rate < 0.03 THEN 'support' WHEN {k} < 2 THEN 'conditions' WHEN n < 80 THEN 'count' WHEN abs(x1_mean) < 50 OR abs(x2_mean) < 50 THEN 'mean'
+  WHEN greatest(x1_sigma, x2_sigma) > 2500 THEN 'sigma' ELSE 'passed' END AS reject_reason, count(*) AS rules, {k} AS conditions FROM mined GROUP BY ALL)"""
+        for k in (1, 2)
+    ),
+    "legacy_values": PANEL_SQL + "SELECT inst, i, round(coalesce(x0, 0), 6) AS own, round(coalesce(x1, 0), 6) AS next FROM series",
+    "three_horizons": PANEL_SQL
+    + f""", {_CONDS_SQL}, s3 AS (SELECT *, lead(x0, 3) OVER (PARTITION BY inst ORDER BY i) AS x3 FROM series),
+hits AS (SELECT rule_id, i + delay AS t, max_d FROM items JOIN conds USING (attr) JOIN rules USING (rule_id) GROUP BY rule_id, i + delay, max_d, k HAVING count(*) = k)
+SELECT inst, rule_id, count(*) AS support_count, round(count(*) / (n - max_d - 3), 4) AS support_rate, round(avg(x3), 4) AS x3_mean, round(stddev_pop(x3), 4) AS x3_sigma,
+  round((greatest(abs(min(x1)), abs(max(x1))) + greatest(abs(min(x2)), abs(max(x2))) + greatest(abs(min(x3)), abs(max(x3)))) / 3, 4) AS deviation
+FROM hits JOIN s3 ON i = t WHERE t >= max_d AND t < n - 3 GROUP BY inst, rule_id, n, max_d""",
     "rule_flags": _level_sql(1) + "SELECT inst, rule, support_rate >= 0.06 AS high_support, greatest(x1_sigma, x2_sigma) <= 2000 AS low_variance FROM mined",
     "q1_validation": PANEL_SQL
     + f""", {_CONDS_SQL}, own AS (SELECT * FROM series WHERE inst = '{TARGET}'),

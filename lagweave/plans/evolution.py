@@ -52,7 +52,17 @@ def passes(s: dict, p: MiningParams) -> bool:
     return s["concentration"] >= p.min_concentration and calm1 and calm2 and s["support_rate"] >= p.min_support
 
 
-def evolve(flags: np.ndarray, names: list[str], x: np.ndarray, p: MiningParams, seed: int) -> tuple[list[dict], list[dict]]:
+def concentration_fitness(k: int, s: dict, new: bool) -> float:
+    """Length, support and concentration, its lack counting against; a new rule earns most."""
+    return k + 10 * s["support_rate"] + 10 * s["concentration"] - 10 * (1 - s["concentration"]) + 20 * new
+
+
+def tightness_fitness(k: int, s: dict, new: bool) -> float:
+    """Length, support and the inverse deviations of the future values."""
+    return k + 10 * s["support_rate"] + 2 / (s["x1_sigma"] + 0.001) + 2 / (s["x2_sigma"] + 0.001) + 20 * new
+
+
+def evolve(flags: np.ndarray, names: list[str], x: np.ndarray, p: MiningParams, seed: int, credit=concentration_fitness) -> tuple[list[dict], list[dict]]:
     """Rules in order of discovery, and a log line per generation."""
     r = np.random.default_rng(seed)
     size, starts, nodes = p.individuals, p.start_nodes, p.judgement_nodes
@@ -98,7 +108,7 @@ def evolve(flags: np.ndarray, names: list[str], x: np.ndarray, p: MiningParams,
                         continue
                     key = rule if p.dedupe_by_delay else tuple(a for a, _ in rule)
                     new = key not in found and len(found) < p.max_rules_per_trial
-                    fitness[who] += len(rule) + 10 * s["support_rate"] + 10 * s["concentration"] - 10 * (1 - s["concentration"]) + 20 * new
+                    fitness[who] += credit(len(rule), s, new)
                     if new:
                         found[key] = s | {"rule": rule, "generation": generation, "seq": len(found), "k": len(rule)}
                         for b, e in rule:
@@ -140,7 +150,7 @@ def _roulette(r: np.random.Generator, weight: np.ndarray, shape: tuple) -> np.nd
     return r.choice(len(weight), size=shape, p=weight / total) if total > 0 else r.integers(0, len(weight), shape)
 
 
-def mine(items: DataFrame, series: DataFrame, p: MiningParams, log: bool = False) -> DataFrame:
+def mine(items: DataFrame, series: DataFrame, p: MiningParams, log: bool = False, credit=concentration_fitness) -> DataFrame:
     """Rules of every target in series, for p.trials trials each (or the log of generations).
 
     A task's input is one row: the target's values and the rows at which each attribute is 1; its size is bounded by
@@ -160,7 +170,7 @@ def mine(items: DataFrame, series: DataFrame, p: MiningParams, log: bool = False
                 flags = np.zeros((len(names), len(x)), bool)
                 for j, a in enumerate(row.attrs):
                     flags[j, np.asarray(a["rows"], np.int64)] = True
-                rules, lines = evolve(flags, names, x, q, zlib.crc32(f"{row.inst}|{row.trial}".encode()))
+                rules, lines = evolve(flags, names, x, q, zlib.crc32(f"{row.inst}|{row.trial}".encode()), credit)
                 if log:
                     yield pd.DataFrame([{"inst": row.inst, "trial": row.trial} | s for s in lines], columns=[c.split()[0] for c in LOG.split(", ")])
                 else:

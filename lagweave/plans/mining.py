@@ -62,6 +62,13 @@ def with_gate(rules: DataFrame, p: MiningParams) -> DataFrame:
     return rules.withColumn("reject_reason", reason).withColumn("high_support", high).withColumn("low_variance", low)
 
 
+def with_strict_gate(rules: DataFrame, p: MiningParams, k: int, min_count: int = 5, min_mean: float = 0.07, min_conditions: int = 2) -> DataFrame:
+    """Adds reject_reason by the alternative gate: support, conditions, count, strength of both means, deviation of both values."""
+    weak = (F.abs("x1_mean") < min_mean) | (F.abs("x2_mean") < min_mean)
+    reason = F.when(F.col("support_rate") < p.min_support, "support").when(F.lit(k < min_conditions), "conditions").when(F.col("n") < min_count, "count").when(weak, "mean")
+    return rules.withColumn("reject_reason", reason.when(F.greatest("x1_sigma", "x2_sigma") > p.max_sigma, "sigma").otherwise("passed"))
+
+
 def gate_report(rules: DataFrame) -> DataFrame:
     """Per target and reason: rules, percent, and whether it is the most frequent reason to reject (ties: first by name)."""
     got = rules.groupBy("inst", "reject_reason").agg(F.count(F.lit(1)).alias("rules"))
