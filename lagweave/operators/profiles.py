@@ -17,10 +17,12 @@ def full(value: Column, width: int, window) -> Column:
 
 
 def correlation(a: str, b: str, window=None) -> Column:
-    """Pearson's r over rows where both are known; NULL without variance (the built-in one fails there)."""
+    """Pearson's r over rows where both are known; NULL where a deviation is nothing but rounding (the built-in one fails there)."""
     over = lambda c: c if window is None else c.over(window)
     x, y = F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b))
-    return F.try_divide(over(F.covar_pop(x, y)), over(F.stddev_pop(x)) * over(F.stddev_pop(y)))
+    sx, sy = over(F.stddev_pop(x)), over(F.stddev_pop(y))
+    varied = (sx > 1e-9 * (1 + F.abs(over(F.avg(x))))) & (sy > 1e-9 * (1 + F.abs(over(F.avg(y)))))
+    return F.when(varied, F.try_divide(over(F.covar_pop(x, y)), sx * sy))
 
 
 def rolling(returns: DataFrame, width: int, centred: bool = False) -> DataFrame:

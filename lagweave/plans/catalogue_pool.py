@@ -372,6 +372,9 @@ UNION ALL (SELECT 'deviation', rule_id, round(score, 8) FROM s WHERE score IS NO
     "global_top_rules": _SCORED
     + f", c AS (SELECT *, len({_PLAIN})::INT AS plain_conditions FROM scored) "
     + " UNION ALL ".join(f"(SELECT '{k}' AS kind, row_number() OVER (ORDER BY {k} DESC, rule_id)::INT AS place, rule_id, pool_id, plain_conditions, round({k}, 8) AS score FROM c WHERE {k} IS NOT NULL ORDER BY {k} DESC, rule_id LIMIT 10)" for k in ("score_2d", "score_t1", "score_t2")),
+    "conditions_summary": f"""WITH t AS (SELECT rule_id, list_transform([{", ".join(f"attr{i}" for i in range(1, 9))}], lambda a: CASE WHEN regexp_matches(regexp_replace(a, '^\\s+|\\s+$', '', 'g'), '(?s)^(.+)\\(t-(\\d+)\\)$') THEN regexp_replace(a, '^\\s+|\\s+$', '', 'g') END) AS l FROM zrp01a),
+g AS (SELECT rule_id, l, coalesce(list_position(list_transform(l, lambda a: a IS NULL), true), 9) - 1 AS k FROM t), h AS (SELECT rule_id, k, CASE WHEN k > 0 THEN l[1:least(k, 3)] ELSE [] END AS s FROM g)
+SELECT rule_id, k::INT AS k, array_to_string(s, ', ') || CASE WHEN k > 3 THEN ' ... (+' || (k - 3) || ')' ELSE '' END AS summary FROM h""",
     "instrument_summary": _P + """, g AS (SELECT symbol, count(*) AS n_rules, avg(support_count) AS mean_support, max(support_count) AS max_support, min(support_count) AS min_support, avg(abs(x_mean)) AS mean_abs_m1, avg(abs(x2_mean)) AS mean_abs_m2, max(abs(x_mean)) AS max_abs_m1, max(abs(x2_mean)) AS max_abs_m2,
   avg(x_sigma) AS mean_s1, avg(x2_sigma) AS mean_s2, min(x_sigma) AS min_s1, min(x2_sigma) AS min_s2, avg(concentration) AS mean_concentration, count(*) FILTER (greatest(abs(x_mean), abs(x2_mean)) >= 0.5) AS n_strong, count(*) FILTER (x_sigma < 0.3 AND x2_sigma < 0.3) AS n_calm, count(*) FILTER (support_count >= 50) AS n_supported FROM pool GROUP BY symbol)
 SELECT symbol, n_rules, round(mean_support, 6) AS mean_support, max_support, min_support, round(mean_abs_m1, 6) AS mean_abs_m1, round(mean_abs_m2, 6) AS mean_abs_m2, max_abs_m1, max_abs_m2, round(mean_s1, 6) AS mean_s1, round(mean_s2, 6) AS mean_s2, min_s1, min_s2, round(mean_concentration, 6) AS mean_concentration, n_strong, n_calm, n_supported,

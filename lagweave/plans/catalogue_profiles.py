@@ -89,7 +89,7 @@ def ks_statistic(spark, d):
     w = Window.partitionBy(*BY)
     m = _matches(spark, d).where("x1 IS NOT NULL")
     n, place = F.count(F.lit(1)).over(w), F.row_number().over(w.orderBy("x1", "t"))
-    m = m.select(*BY, n.alias("n"), place.alias("k"), ((F.col("x1") - F.avg("x1").over(w)) / F.stddev_samp("x1").over(w)).alias("z"))
+    m = m.select(*BY, n.alias("n"), place.alias("k"), F.try_divide(F.col("x1") - F.avg("x1").over(w), F.stddev_samp("x1").over(w)).alias("z"))
     cdf = normal_cdf(F.col("z"))
     return _rounded(m.groupBy(*BY).agg(F.max(F.greatest(F.col("k") / F.col("n") - cdf, cdf - (F.col("k") - 1) / F.col("n"))).alias("ks")), 6)
 
@@ -248,7 +248,7 @@ ORACLE = {
   quantile_cont(x, 0.25) AS q25, quantile_cont(x, 0.5) AS median_x, quantile_cont(x, 0.75) AS q75 FROM rets GROUP BY inst HAVING count(x) >= 100)""",
     "rolling_stats": PANEL_SQL + f"SELECT inst, i, {', '.join(_ROLL.format(k=20, e=f'round({e}, 3)') + f' AS {a}' for a, e in (('roll_mean', 'avg(x) OVER w'), ('roll_sd', 'stddev_samp(x) OVER w'), ('roll_sharpe', 'avg(x) OVER w / (stddev_samp(x) OVER w + 1e-6)')))} FROM rets WINDOW w AS (PARTITION BY inst ORDER BY i ROWS 19 PRECEDING)",
     "rolling_centred": PANEL_SQL + f"SELECT inst, i, {_ROLL.format(k=10, e='round(avg(x) OVER w, 4)')} AS roll_mean FROM rets WINDOW w AS (PARTITION BY inst ORDER BY i ROWS BETWEEN 5 PRECEDING AND 4 FOLLOWING)",
-    "rolling_corr": PANEL_SQL + "SELECT inst, i, CASE WHEN count(price + prev) OVER w >= 20 THEN round(corr(price, prev) OVER w, 5) END AS roll_corr FROM rets WINDOW w AS (PARTITION BY inst ORDER BY i ROWS 19 PRECEDING)",
+    "rolling_corr": PANEL_SQL + "SELECT inst, i, CASE WHEN count(price + prev) OVER w >= 20 AND stddev_pop(price) OVER w > 1e-9 * (1 + abs(avg(price) OVER w)) AND stddev_pop(prev) OVER w > 1e-9 * (1 + abs(avg(prev) OVER w)) THEN round(corr(price, prev) OVER w, 5) END AS roll_corr FROM rets WINDOW w AS (PARTITION BY inst ORDER BY i ROWS 19 PRECEDING)",
     "cum_return": EVENTS_SQL
     + """, f AS (SELECT inst, i, 1 + coalesce(x, 0) / 100 AS f FROM rets), g AS (SELECT inst, i, count(*) FILTER (f = 0) OVER w AS z, count(*) FILTER (f < 0) OVER w AS neg, sum(CASE WHEN f <> 0 THEN ln(abs(f)) ELSE 0 END) OVER w AS s FROM f WINDOW w AS (PARTITION BY inst ORDER BY i))
 SELECT inst, i, CASE WHEN z = 0 AND exp(s) > 1e-9 THEN round(s, 6) END AS log_growth, CASE WHEN z > 0 THEN 0 WHEN neg % 2 = 1 THEN -1 ELSE 1 END::INT AS sign FROM g""",
@@ -267,9 +267,15 @@ SELECT inst, rule_id, round(avg(gap), 4) AS interval_mean, round(stddev_samp(gap
     "moments_var_cvar": _M1
     + f""", g AS (SELECT inst, rule_id, avg(x1) AS mu, {_SQ} AS v, count(x1) AS n FROM m GROUP BY ALL),
 c AS (SELECT inst, rule_id, avg(pow(x1 - mu, 2)) AS m2, avg(pow(x1 - mu, 3)) AS m3, avg(pow(x1 - mu, 4)) AS m4, avg(x1) FILTER (x1 <= v) AS cv FROM m JOIN g USING (inst, rule_id) GROUP BY ALL)
-SELECT inst, rule_id, n, round(mu, 4) AS mean, round(m3 / pow(m2, 1.5), 4) AS skewness, round(m4 / (m2 * m2) - 3, 4) AS kurtosis, round(v, 4) AS var95, round(cv, 4) AS cvar95 FROM g JOIN c USING (inst, rule_id)""",
+SELECT inst, rule_id, n, round(mu, 4) AS mean, round(m3 / nullif(pow(m2, 1.5), 0), 4) AS skewness, round(m4 / nullif(m2 * m2, 0) - 3, 4) AS kurtosis, round(v, 4) AS var95, round(cv, 4) AS cvar95 FROM g JOIN c USING (inst, rule_id)""",
     "ecdf": _M1 + "SELECT inst, rule_id, t, round(row_number() OVER (PARTITION BY inst, rule_id ORDER BY x1, t) / count(*) OVER (PARTITION BY inst, rule_id), 6) AS ecdf FROM m WHERE x1 IS NOT NULL",
-    "trend": _M1 + "SELECT inst, rule_id, round(regr_slope(x1, t), 4) AS slope, round(regr_intercept(x1, t), 4) AS intercept FROM m GROUP BY ALL",
+    "ks_statistic": _M1
+    + """, z AS (SELECT inst, rule_id, count(*) OVER w AS n, row_number() OVER (PARTITION BY inst, rule_id ORDER BY x1, t) AS k, (x1 - avg(x1) OVER w) / nullif(stddev_samp(x1) OVER w, 0) AS z FROM m WHERE x1 IS NOT NULL WINDOW w AS (PARTITION BY inst, rule_id)),
+u AS (SELECT *, 1 / (1 + 0.3275911::DOUBLE * abs(z) / sqrt(2)) AS u FROM z),
+e AS (SELECT *, 1 - ((((1.061405429::DOUBLE * u - 1.453152027) * u + 1.421413741) * u - 0.284496736) * u + 0.254829592) * u * exp(-z * z / 2) AS e FROM u),
+c AS (SELECT *, CASE WHEN z >= 0 THEN (1 + e) / 2 ELSE (1 - e) / 2 END AS c FROM e)
+SELECT inst, rule_id, round(max(greatest(k / n - c, c - (k - 1) / n)), 6) AS ks FROM c GROUP BY ALL""",
+    "trend": _M1 + "SELECT inst, rule_id, CASE WHEN var_pop(t) > 0 THEN round(regr_slope(x1, t), 4) END AS slope, CASE WHEN var_pop(t) > 0 THEN round(regr_intercept(x1, t), 4) END AS intercept FROM m GROUP BY ALL",
     "anova_month": _M1
     + """, g AS (SELECT inst, rule_id, month(ts) AS mo, count(x1) AS n, avg(x1) AS mu, var_pop(x1) * count(x1) AS ss FROM m GROUP BY ALL),
 t AS (SELECT *, sum(n * mu) OVER w / sum(n) OVER w AS gm FROM g WINDOW w AS (PARTITION BY inst, rule_id)),
@@ -289,7 +295,7 @@ SELECT inst, rule_id, count(*) AS n, max(m.n) AS total, round(count(*) / max(m.n
     "five_numbers": _M1
     + """, q AS (SELECT inst, month(ts)::INT AS month, min(x0) AS p0, quantile_cont(x0, 0.25) AS p25, quantile_cont(x0, 0.5) AS p50, quantile_cont(x0, 0.75) AS p75, max(x0) AS p100 FROM series GROUP BY ALL)
 SELECT DISTINCT inst, rule_id, q.month, round(p0, 4) AS p0, round(p25, 4) AS p25, round(p50, 4) AS p50, round(p75, 4) AS p75, round(p100, 4) AS p100 FROM m JOIN q USING (inst) WHERE q.month = month(m.ts)""",
-    "series_correlation": _M1 + "SELECT inst, rule_id, round(corr(x1, x2), 5) AS r, round(avg(x1), 5) AS m1, round(avg(x2), 5) AS m2, round(stddev_samp(x1), 5) AS s1, round(stddev_samp(x2), 5) AS s2 FROM m GROUP BY ALL",
+    "series_correlation": _M1 + "SELECT inst, rule_id, CASE WHEN stddev_pop(x1) > 1e-9 * (1 + abs(avg(x1))) AND stddev_pop(x2) > 1e-9 * (1 + abs(avg(x2))) THEN round(corr(x1, x2), 5) END AS r, round(avg(x1), 5) AS m1, round(avg(x2), 5) AS m2, round(stddev_samp(x1), 5) AS s1, round(stddev_samp(x2), 5) AS s2 FROM m GROUP BY ALL",
     "extreme_signals": _M1.replace("h.t < s.n - 2", "h.t < s.n - 0")
     + """, g AS (SELECT inst, stddev_samp(x0) AS g FROM series GROUP BY inst),
 a AS (SELECT inst, rule_id, g, count(*) AS n, avg(x0) AS mu, coalesce(stddev_samp(x0), 0) AS s, avg((abs(x0) > 2 * g)::INT) AS tr FROM m JOIN g USING (inst) WHERE x0 IS NOT NULL GROUP BY ALL)

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lagweave.params import MiningParams
+from lagweave.session import stored
 
 SCHEMA = "inst string, trial int, seq int, generation int, rule string, k int, max_d int, support_count long, support_rate double, concentration double, quadrant string, x1_mean double, x1_sigma double, x1_min double, x1_max double, x2_mean double, x2_sigma double, x2_min double, x2_max double, high_support boolean"
 LOG = "inst string, trial int, generation int, rules int, best_fitness double, mean_fitness double"
@@ -182,7 +183,8 @@ def mine(items: DataFrame, series: DataFrame, p: MiningParams, log: bool = False
 
 
 def merged_pool(rules: DataFrame) -> DataFrame:
-    """One row per target and rule, the first found over all trials; delays count."""
+    """One row per target and rule, the first found over all trials; delays count. The rules are written out first, as they are read twice."""
+    rules = stored(rules)
     first = rules.groupBy("inst", "rule").agg(F.min(F.struct("trial", "seq")).alias("f"))
     return rules.join(first.select("inst", "rule", F.col("f.trial").alias("trial"), F.col("f.seq").alias("seq")), ["inst", "rule", "trial", "seq"], "left_semi")
 
