@@ -38,7 +38,10 @@ def mining_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def table_items(table: DataFrame, order: str = "T") -> DataFrame:
-    """i, attr of the cells that are 1 in a mining table; 2 and other values are no match. Rows are numbered by time."""
+    """i, attr of the cells that are 1 in a mining table; 2 and other values are no match. Rows are numbered by time.
+
+    The numbering is one window over the table: a mining table is a single series, as long as its calendar.
+    """
     attrs = [c for c, t in table.dtypes if t == "tinyint"]
     numbered = table.withColumn("i", (F.row_number().over(Window.orderBy(order)) - 1).cast("long"))
     each = F.explode(F.filter(F.array(*(F.when(F.col(f"`{a}`") == 1, F.lit(a)) for a in attrs)), lambda a: a.isNotNull()))
