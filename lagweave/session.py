@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,3 +57,20 @@ def stored(df: DataFrame) -> DataFrame:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the package to Python workers that could not import it: if it is neither on PYTHONPATH nor in the working folder, the driver serves it as an archive, once per application."""
+    root, app = Path(__file__).resolve().parent.parent, spark.sparkContext.applicationId
+    reachable = {os.path.realpath(p) for p in [os.getcwd(), *filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep))]}
+    if app in _SHIPPED or str(root) in reachable:
+        return
+    archive = os.path.join(tempfile.mkdtemp(), "lagweave.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted((root / "lagweave").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(app)
