@@ -10,6 +10,18 @@ CONDITION = r"(?s)^(.+)\(t-(\d+)\)$"
 SLOTS = 8
 
 
+def normalized(c: Column) -> Column:
+    """A condition however it is written: ASCII letters and digits alone, in lower case. NULL for an empty slot (NULL, 0, nothing but other characters)."""
+    text = F.lower(F.regexp_replace(c, "[^A-Za-z0-9]", ""))
+    return F.when((text != "") & (text != "0"), text)
+
+
+def condition_key(slots: list[str]) -> Column:
+    """Text of the set of conditions in the slots, however written and in any order."""
+    each = F.filter(F.array(*(normalized(F.col(s)) for s in slots)), lambda v: v.isNotNull())
+    return F.array_join(F.array_sort(F.array_distinct(each)), "&")
+
+
 def parse_condition(c: Column) -> Column:
     """struct(attr, delay), or NULL for an empty slot (NULL, blank, 0, -) and for text that is no condition."""
     text = F.regexp_replace(c, r"^\s+|\s+$", "")

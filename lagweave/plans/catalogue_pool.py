@@ -11,7 +11,7 @@ from lagweave.operators import matching as mt
 from lagweave.operators.profiles import correlation
 from lagweave.operators.quantiles import quantiles
 from lagweave.operators.readings import finite
-from lagweave.operators.rules import attribute_summary, parse_rules
+from lagweave.operators.rules import attribute_summary, condition_key, parse_rules
 from lagweave.plans.catalogue_rules import _M1, PARAMS, TARGET, _level_sql, _matches, _mined, _rounded
 from lagweave.session import table
 
@@ -250,10 +250,9 @@ def dedupe_first_three(spark, d):
 
 
 def dedupe_across_trials(spark, d):
-    """One rule per instrument and set of plain conditions, delays counting: the one mined first."""
-    p = pool(spark, d)
-    parsed = parse_rules(p, [f"attr{i}" for i in range(1, 9)]).select("rule_id", F.array_join(F.array_sort(F.transform("conds", lambda c: F.concat(c["attr"], F.lit("@"), c["delay"].cast("string")))), "&").alias("key"))
-    first = p.join(parsed, "rule_id").groupBy("symbol", "key").agg(F.min(F.struct("mined_at", "rule_id")).alias("f"), F.count(F.lit(1)).alias("n"))
+    """One rule per instrument and set of conditions, however written, delays counting: the one mined first."""
+    p = pool(spark, d).withColumn("key", condition_key([f"attr{i}" for i in range(1, 9)]))
+    first = p.groupBy("symbol", "key").agg(F.min(F.struct("mined_at", "rule_id")).alias("f"), F.count(F.lit(1)).alias("n"))
     return first.select(F.col("f.rule_id").alias("rule_id"), "symbol", "n")
 
 
