@@ -103,7 +103,7 @@ def global_top_rules(spark, d):
 
 
 def conditions_summary(spark, d):
-    p = parse_rules(table(spark, d, "zrp01a"), [f"attr{i}" for i in range(1, 9)], stop_at_gap=True)
+    p = parse_rules(table(spark, d, "zrp01a"), [f"attr{i}" for i in range(1, 9)], stop_at_gap=True, any_writing=True)
     return p.select("rule_id", "k", attribute_summary(F.col("conds")).alias("summary"))
 
 

@@ -55,10 +55,10 @@ def rule_parse(spark, d):
 
 
 def pool_conditions(spark, d):
-    """The conditions of the rule pool that are written in the plain form."""
+    """All conditions of the rule pool, however written; attr in normal form."""
     from lagweave.session import table
 
-    got = parse_rules(table(spark, d, "zrp01a"), [f"attr{i}" for i in range(1, 9)])
+    got = parse_rules(table(spark, d, "zrp01a"), [f"attr{i}" for i in range(1, 9)], any_writing=True)
     return conditions(got).select("rule_id", "attr", "delay", "k", "max_d")
 
 

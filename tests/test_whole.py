@@ -28,3 +28,38 @@ def test_rules_written_otherwise_keep_their_conditions_in_the_key(spark, pool_ro
         groups[r.pool_id.split("_")[0].upper(), frozenset(filter(None, (written(r[s]) for s in SLOTS)))].append((r.mined_at is not None, r.mined_at, r.rule_id))
     want = {(min(g)[2], symbol, len(g)) for (symbol, _), g in groups.items()}
     assert {tuple(r) for r in dedupe_across_trials(spark, SMALL).select("rule_id", "symbol", "n").collect()} == want
+
+
+def parts(v):
+    text = written(v)
+    m = text and re.fullmatch("(.+)t([0-9]+)", text)
+    return text and ((m[1], int(m[2])) if m else (text, None))
+
+
+def test_conditions_of_the_pool_count_however_written(spark, pool_rows):
+    from lagweave.plans.catalogue_pool import conditions_summary
+    from lagweave.plans.catalogue_rules import attr_frequency, pool_conditions
+
+    conds, summaries = Counter(), set()
+    for r in pool_rows:
+        slots = [parts(r[s]) for s in SLOTS]
+        kept = [c for c in slots if c]
+        conds.update((r.rule_id, *c, len(kept), max(x for _, x in kept)) for c in kept)
+        lead = slots[: slots.index(None)] if None in slots else slots
+        more = f" ... (+{len(lead) - 3})" if len(lead) > 3 else ""
+        summaries.add((r.rule_id, len(lead), ", ".join(f"{a}(t-{x})" for a, x in lead[:3]) + more))
+    assert Counter(tuple(r) for r in pool_conditions(spark, SMALL).collect()) == conds
+    n = Counter()
+    for (_, attr, *_), k in conds.items():
+        n[attr] += k
+    assert [tuple(r) for r in attr_frequency(spark, SMALL).collect()] == sorted(n.items(), key=lambda x: (-x[1], x[0]))[:10]
+    assert {tuple(r) for r in conditions_summary(spark, SMALL).collect()} == summaries
+
+
+def test_text_without_delay_is_no_empty_slot(spark):
+    from lagweave.operators.rules import parse_rules, write_rule
+
+    df = spark.createDataFrame([(1, "odd", "-", "a_UP ( T – 2 )", "0", None)], "rule_id int, attr1 string, attr2 string, attr3 string, attr4 string, attr5 string")
+    got = write_rule(parse_rules(df, SLOTS[:5], any_writing=True), 3).first()
+    assert [(c.attr, c.delay) for c in got.conds] == [("odd", None), ("aup", 2)] and (got.k, got.max_d) == (2, 2)
+    assert (got.attr1, got.attr2, got.attr3) == ("odd", "aup(t-2)", "0")
