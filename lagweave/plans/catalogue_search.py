@@ -2,35 +2,31 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import functions as F
 
 from lagweave.plans import evolution
 from lagweave.plans.catalogue_pool import pool
-from lagweave.plans.catalogue_rules import PARAMS, TARGET, _panel
-
-SEARCH = replace(PARAMS, trials=2, generations=20, individuals=120)
+from lagweave.plans.catalogue_rules import PARAMS, _panel
 
 
 def gnp_mine(spark, d):
     items, series = _panel(spark, d)
-    return evolution.mine(items, series, SEARCH)
+    return evolution.mine(items, series, PARAMS)
 
 
 def gnp_pool(spark, d):
     items, series = _panel(spark, d)
-    return evolution.merged_pool(evolution.mine(items, series.where(F.col("inst") == TARGET), SEARCH))
+    return evolution.merged_pool(evolution.mine(items, series, PARAMS))
 
 
 def gnp_log(spark, d):
     items, series = _panel(spark, d)
-    return evolution.mine(items, series.where(F.col("inst") == TARGET), SEARCH, log=True)
+    return evolution.mine(items, series, PARAMS, log=True)
 
 
 def gnp_trials(spark, d):
     items, series = _panel(spark, d)
-    return evolution.trial_statistics(evolution.mine(items, series.where(F.col("inst") == TARGET), SEARCH))
+    return evolution.trial_statistics(evolution.mine(items, series, PARAMS))
 
 
 CLUSTERED = ["x_mean", "x_sigma", "x2_mean", "x2_sigma", "concentration"]

@@ -63,3 +63,20 @@ def test_text_without_delay_is_no_empty_slot(spark):
     got = write_rule(parse_rules(df, SLOTS[:5], any_writing=True), 3).first()
     assert [(c.attr, c.delay) for c in got.conds] == [("odd", None), ("aup", 2)] and (got.k, got.max_d) == (2, 2)
     assert (got.attr1, got.attr2, got.attr3) == ("odd", "aup(t-2)", "0")
+
+
+@pytest.mark.parametrize("name", ["gnp_mine", "gnp_pool", "gnp_log", "gnp_trials"])
+def test_search_is_the_full_one_for_all_targets(spark, monkeypatch, name):
+    from lagweave.params import MiningParams
+    from lagweave.plans import catalogue_search, evolution
+
+    asked = []
+
+    def mine(items, series, p, log=False):
+        asked.append((sorted(r.inst for r in series.select("inst").distinct().collect()), p.trials, p.generations, p.individuals))
+        return spark.createDataFrame([], evolution.LOG if log else evolution.SCHEMA)
+
+    monkeypatch.setattr(evolution, "mine", mine)
+    catalogue_search.QUERIES[name](spark, SMALL)
+    whole = MiningParams()
+    assert asked == [(["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"], whole.trials, whole.generations, whole.individuals)]
