@@ -31,16 +31,17 @@ RANGES = {"m1": Range(), "m2": Range(start=5), "m3": Range(span=1), "m4": Range(
 
 
 def hits(rules: DataFrame, items: DataFrame) -> DataFrame:
-    """rule_id, t, max_d of the rows where all conditions hold; rules without conditions have none here."""
+    """rule_id, t, max_d of the rows where all conditions hold, and inst if items has it; rules without conditions have none here."""
+    own = [c for c in ("inst",) if c in items.columns]
     c = conditions(rules).dropDuplicates(["rule_id", "attr", "delay"])
     need = Window.partitionBy("rule_id")
     c = c.withColumn("need", F.count(F.lit(1)).over(need))
-    met = items.join(c, "attr").select("rule_id", "need", "max_d", (F.col("i") + F.col("delay")).alias("t"))
-    return met.groupBy("rule_id", "t", "need", "max_d").agg(F.count(F.lit(1)).alias("got")).where("got = need").select("rule_id", "t", "max_d")
+    met = items.join(c, "attr").select(*own, "rule_id", "need", "max_d", (F.col("i") + F.col("delay")).alias("t"))
+    return met.groupBy(*own, "rule_id", "t", "need", "max_d").agg(F.count(F.lit(1)).alias("got")).where("got = need").select(*own, "rule_id", "t", "max_d")
 
 
 def matches(rules: DataFrame, items: DataFrame, series: DataFrame, valid: Range = RANGES["m1"], empty_matches: bool = False) -> DataFrame:
-    """inst, rule_id, t and the series' columns at t, for one or more target series sharing the items' axis.
+    """inst, rule_id, t and the series' columns at t, for one or more target series sharing the items' axis, or each with the items of its own inst.
 
     series: inst, i, n, ... (see prep.targets). empty_matches: rules without conditions match every valid row.
     """
@@ -49,7 +50,8 @@ def matches(rules: DataFrame, items: DataFrame, series: DataFrame, valid: Range
         kept = conditions(rules).join(known, "attr", "left_semi").groupBy("rule_id").agg(F.sort_array(F.collect_list(F.struct("pos", "attr", "delay"))).alias("conds"))
         rules = kept.select("rule_id", F.transform("conds", lambda x: F.struct(x["attr"].alias("attr"), x["delay"].alias("delay"))).alias("conds"), F.size("conds").alias("k"), F.array_max(F.transform("conds", lambda x: x["delay"])).alias("max_d"))
     got = hits(rules, items)
-    out = series.join(got, series.i == got.t).where(F.col("t") < F.col("n") - valid.span)
+    own = ["inst"] if "inst" in items.columns else []
+    out = series.join(got.withColumn("i", F.col("t")), [*own, "i"]).where(F.col("t") < F.col("n") - valid.span)
     out = out.where(F.col("t") >= (F.col("max_d") if valid.start is None else F.lit(valid.start)))
     out = out.select("rule_id", "t", *(c for c in series.columns if c != "i"))
     if empty_matches:
@@ -73,39 +75,39 @@ def extreme_subset(series: DataFrame, threshold: float = 1.0) -> DataFrame:
 
 
 def match_extreme(rules: DataFrame, items: DataFrame, series: DataFrame, threshold: float = 1.0) -> DataFrame:
-    """M5, for a single target: lags run over the extreme rows alone."""
+    """M5, for one or more targets: lags run over each target's extreme rows alone."""
     kept = extreme_subset(series, threshold)
-    moved = kept.join(items, "i").select(F.col("j").alias("i"), "attr")
+    moved = kept.join(items, "i").select("inst", F.col("j").alias("i"), "attr")
     return matches(rules, moved, kept.select("inst", F.col("j").alias("i"), "ts", "n", "x0"), RANGES["m4"])
 
 
 def match_progressive(rules: DataFrame, items: DataFrame, series: DataFrame) -> DataFrame:
-    """M6, for a single target: each condition's lag runs over the rows that survived the conditions before it.
+    """M6, for one or more targets: each condition's lag runs over the rows that survived the conditions before it.
 
     One step per position; the survivors are written out in between, as each step reads them twice.
     """
     c = conditions(rules)
     slots = c.agg(F.max("k")).first()[0] or 0
     items = stored(items)
-    base = series.select("i")
+    base = series.select("inst", "i")
     frame = None
     for pos in range(slots):
         at = c.where(F.col("pos") == pos).select("rule_id", "attr", "delay", "k")
         if frame is None:
             # The first condition runs over the full series: an ordinary lag.
-            kept = items.join(at, "attr").select("rule_id", "k", (F.col("i") + F.col("delay")).alias("i")).join(base, "i", "left_semi")
-            done = kept.where("k = 1").select("rule_id", "i")
+            kept = items.join(at, "attr").select("rule_id", "k", (F.col("i") + F.col("delay")).alias("i")).join(base, "i")
+            done = kept.where("k = 1").select("inst", "rule_id", "i")
         else:
-            numbered = frame.withColumn("j", F.row_number().over(Window.partitionBy("rule_id").orderBy("i")))
+            numbered = frame.withColumn("j", F.row_number().over(Window.partitionBy("inst", "rule_id").orderBy("i")))
             need = numbered.join(at.drop("k"), "rule_id")
-            source = numbered.select("rule_id", F.col("j").alias("_j"), F.col("i").alias("_i"))
-            lagged = need.join(source, (need.rule_id == source.rule_id) & (need.j - need.delay == source._j)).select(need.rule_id, "k", "i", "attr", "_i")
-            kept = lagged.join(items.select(F.col("i").alias("_i"), "attr"), ["_i", "attr"], "left_semi").select("rule_id", "k", "i")
-            done = done.unionByName(kept.where(F.col("k") == pos + 1).select("rule_id", "i"))
+            source = numbered.select("inst", "rule_id", F.col("j").alias("_j"), F.col("i").alias("_i"))
+            lagged = need.join(source, (need.inst == source.inst) & (need.rule_id == source.rule_id) & (need.j - need.delay == source._j)).select(need.inst, need.rule_id, "k", "i", "attr", "_i")
+            kept = lagged.join(items.select(F.col("i").alias("_i"), "attr"), ["_i", "attr"], "left_semi").select("inst", "rule_id", "k", "i")
+            done = done.unionByName(kept.where(F.col("k") == pos + 1).select("inst", "rule_id", "i"))
         frame = stored(kept.where(F.col("k") > pos + 1))
     if frame is None:
         return series.select(F.lit(None).cast("int").alias("rule_id"), F.col("i").alias("t"), *(x for x in series.columns if x != "i")).limit(0)
-    return series.join(done.withColumnRenamed("i", "t"), F.col("i") == F.col("t")).select("rule_id", "t", *(x for x in series.columns if x != "i"))
+    return series.join(done.withColumn("t", F.col("i")), ["inst", "i"]).select("rule_id", "t", *(x for x in series.columns if x != "i"))
 
 
 def rule_stats(matched: DataFrame, span: int = 2, sample_sd: bool = False, horizons: int = 2) -> DataFrame:
@@ -138,6 +140,6 @@ def verification_rows(rules: DataFrame, matched: DataFrame, times: DataFrame) ->
     """One row per match and condition: the condition and the time of the row it looked at."""
     c = conditions(rules)
     m = matched.select("inst", "rule_id", "t", "ts", "x1", "x2").join(c, "rule_id").withColumn("at", F.col("t") - F.col("delay"))
-    seen = times.select(F.col("i").alias("at"), F.col("ts").alias("seen_ts"))
+    seen = times.select("inst", F.col("i").alias("at"), F.col("ts").alias("seen_ts"))
     label = F.concat("attr", F.lit("("), F.date_format("seen_ts", "yyyy-MM-dd"), F.lit(")"))
-    return m.join(seen, "at", "left").select("inst", "rule_id", F.col("t").alias("row_index"), F.date_format("ts", "yyyy-MM-dd").alias("timestamp"), "pos", "delay", label.alias("cell"), "x1", "x2")
+    return m.join(seen, ["inst", "at"], "left").select("inst", "rule_id", F.col("t").alias("row_index"), F.date_format("ts", "yyyy-MM-dd").alias("timestamp"), "pos", "delay", label.alias("cell"), "x1", "x2")

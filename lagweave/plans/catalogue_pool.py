@@ -312,14 +312,14 @@ def experiment_totals(spark, d):
 
 
 def sweep_from_matches(spark, d):
-    """81 parameter settings over one table of candidate rules, instead of 81 runs: rules that pass each."""
-    rules = _mined(spark, d, 2, TARGET)
+    """81 parameter settings per target over one table of candidate rules, instead of 81 runs: rules that pass each."""
+    rules = _mined(spark, d, 2)
     grid = [(a, b, c, e) for a in (3, 4, 5) for b in (0.02, 0.03, 0.05) for c in (0.30, 0.40, 0.45) for e in (1_000.0, 5_000.0, 20_000.0)]
     cells = F.explode(F.array(*(F.struct(F.lit(a).alias("max_delay"), F.lit(b).alias("min_support"), F.lit(c).alias("min_concentration"), F.lit(e).alias("max_deviation")) for a, b, c, e in grid)))
     each = rules.select("*", cells.alias("g")).select("*", "g.*")
     calm = deviation_ok(F.col("quadrant"), F.col("x1_min"), F.col("x1_max"), F.col("x2_min"), F.col("x2_max"), F.col("max_deviation"))
     ok = (F.col("max_d") <= F.col("max_delay")) & (F.col("support_rate") >= F.col("min_support")) & (F.col("concentration") >= F.col("min_concentration")) & calm
-    return each.groupBy("max_delay", "min_support", "min_concentration", "max_deviation").agg(F.count_if(ok).alias("rules"))
+    return each.groupBy("inst", "max_delay", "min_support", "min_concentration", "max_deviation").agg(F.count_if(ok).alias("rules"))
 
 
 QUERIES = {

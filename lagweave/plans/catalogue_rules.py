@@ -89,12 +89,12 @@ def match_m4(spark, d):
 
 def match_m5(spark, d):
     items, series = _panel(spark, d)
-    return mt.match_extreme(rules_of(spark), items, series.where(F.col("inst") == TARGET)).select("rule_id", "t", F.round("x0", 6).alias("x0"))
+    return mt.match_extreme(rules_of(spark), items, series).select("inst", "rule_id", "t", F.round("x0", 6).alias("x0"))
 
 
 def match_m6(spark, d):
     items, series = _panel(spark, d)
-    return mt.match_progressive(rules_of(spark), items, series.where(F.col("inst") == TARGET)).select("rule_id", "t")
+    return mt.match_progressive(rules_of(spark), items, series).select("inst", "rule_id", "t")
 
 
 def match_m7(spark, d):
@@ -107,8 +107,7 @@ def match_m8(spark, d):
 
 def verification_rows(spark, d):
     items, series = _panel(spark, d)
-    own = series.where(F.col("inst") == TARGET)
-    got = mt.verification_rows(rules_of(spark), mt.matches(rules_of(spark), items, own), own)
+    got = mt.verification_rows(rules_of(spark), mt.matches(rules_of(spark), items, series), series)
     return _rounded(got)
 
 
@@ -154,10 +153,8 @@ def _length(spark, d) -> int:
     return order_prices(spark, d).select("ts").distinct().count()
 
 
-def _mined(spark, d, k, target=None, p=PARAMS):
+def _mined(spark, d, k, p=PARAMS):
     items, series = _panel(spark, d)
-    if target:
-        series = series.where(F.col("inst") == target)
     return mining.mined(items, series, _length(spark, d), k, p)
 
 
@@ -169,18 +166,18 @@ def mine_level1(spark, d):
 
 
 def mine_level2(spark, d):
-    return _rounded(_mined(spark, d, 2, TARGET).select(*_RULE_COLS))
+    return _rounded(_mined(spark, d, 2).select(*_RULE_COLS))
 
 
 def mine_level3(spark, d):
     """Only frequent pairs are extended."""
     p = replace(PARAMS, min_support=0.08)
-    return _rounded(_mined(spark, d, 3, TARGET, p).where("reject_reason <> 'support'").select(*_RULE_COLS))
+    return _rounded(_mined(spark, d, 3, p).where("reject_reason <> 'support'").select(*_RULE_COLS))
 
 
 def mine_level2_dedupe(spark, d):
     """Rules that pass, one per set of attributes: the delays found first stay."""
-    got = _mined(spark, d, 2, TARGET).where("reject_reason = 'passed'")
+    got = _mined(spark, d, 2).where("reject_reason = 'passed'")
     return _rounded(mining.dedupe(got, ["inst", "a1", "a2"], ["d1", "d2"]).select("inst", "a1", "d1", "a2", "d2", "n", "concentration"))
 
 
@@ -191,7 +188,7 @@ def gate_report(spark, d):
 def strict_gate_report(spark, d):
     """The alternative gate over single conditions and pairs."""
     p = replace(PARAMS, max_sigma=2_500.0)
-    one, two = (mining.with_strict_gate(_mined(spark, d, k, TARGET), p, k, min_count=80, min_mean=50.0).groupBy("reject_reason").agg(F.count(F.lit(1)).alias("rules")).withColumn("conditions", F.lit(k)) for k in (1, 2))
+    one, two = (mining.with_strict_gate(_mined(spark, d, k), p, k, min_count=80, min_mean=50.0).groupBy("inst", "reject_reason").agg(F.count(F.lit(1)).alias("rules")).withColumn("conditions", F.lit(k)) for k in (1, 2))
     return one.unionByName(two)
 
 
@@ -217,18 +214,17 @@ def rule_flags(spark, d):
 def q1_validation(spark, d):
     """Rules matched on the rows whose next two values are both positive enough, numbered anew, then validated on the whole series."""
     items, series = _panel(spark, d)
-    own = series.where(F.col("inst") == TARGET)
     good = (F.col("x1") >= 0.1) & (F.col("x2") >= 0.1)
     from pyspark.sql import Window
 
-    kept = own.where(good).select("inst", "i", "ts", "x0", "x1", "x2", (F.row_number().over(Window.partitionBy("inst").orderBy("i")) - 1).cast("long").alias("j"), F.count(F.lit(1)).over(Window.partitionBy("inst")).alias("n"))
-    moved = kept.join(items, "i").select(F.col("j").alias("i"), "attr")
-    q1 = mt.matches(rules_of(spark), moved, kept.select("inst", F.col("j").alias("i"), "ts", "n", "x0", "x1", "x2"), mt.Range(span=0)).groupBy("rule_id").agg(F.count(F.lit(1)).alias("subset_matches"))
-    full = mt.matches(rules_of(spark), items, own, mt.RANGES["m8"])
-    got = full.groupBy("rule_id", "n").agg(F.count(F.lit(1)).alias("total_matches"), F.count_if(good).alias("q1_matches"))
+    kept = series.where(good).select("inst", "i", "ts", "x0", "x1", "x2", (F.row_number().over(Window.partitionBy("inst").orderBy("i")) - 1).cast("long").alias("j"), F.count(F.lit(1)).over(Window.partitionBy("inst")).alias("n"))
+    moved = kept.join(items, "i").select("inst", F.col("j").alias("i"), "attr")
+    q1 = mt.matches(rules_of(spark), moved, kept.select("inst", F.col("j").alias("i"), "ts", "n", "x0", "x1", "x2"), mt.Range(span=0)).groupBy("inst", "rule_id").agg(F.count(F.lit(1)).alias("subset_matches"))
+    full = mt.matches(rules_of(spark), items, series, mt.RANGES["m8"])
+    got = full.groupBy("inst", "rule_id", "n").agg(F.count(F.lit(1)).alias("total_matches"), F.count_if(good).alias("q1_matches"))
     precision = F.col("q1_matches") / F.col("total_matches")
     got = got.withColumn("precision", precision).withColumn("full_support", F.col("total_matches") / F.col("n")).withColumn("accepted", (precision >= 0.32).cast("int"))
-    return _rounded(got.join(q1, "rule_id", "left").withColumn("subset_matches", F.coalesce("subset_matches", F.lit(0))).drop("n"), 6)
+    return _rounded(got.join(q1, ["inst", "rule_id"], "left").withColumn("subset_matches", F.coalesce("subset_matches", F.lit(0))).drop("n"), 6)
 
 
 def rule_text(spark, d):

@@ -80,3 +80,31 @@ def test_search_is_the_full_one_for_all_targets(spark, monkeypatch, name):
     catalogue_search.QUERIES[name](spark, SMALL)
     whole = MiningParams()
     assert asked == [(["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"], whole.trials, whole.generations, whole.individuals)]
+
+
+TARGETS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+NO_INST = {"strict_gate_report", "sweep_from_matches", "q1_validation", "match_m5", "match_m6"}
+
+
+@pytest.mark.parametrize("name", ["mine_level2", "mine_level2_dedupe", "strict_gate_report", "verification_rows", "q1_validation", "match_m5", "sweep_from_matches"])
+def test_every_target_equals_the_sql_of_that_target(spark, against_sql, name):
+    """The given SQL is for one target; with another one's name in its place it must give that one's rows."""
+    from lagweave.plans import catalogue_pool, catalogue_rules
+
+    module = catalogue_rules if name in catalogue_rules.ORACLE else catalogue_pool
+    got = module.QUERIES[name](spark, SMALL).cache()
+    for target in TARGETS:
+        rows = got.where(got.inst == target)
+        against_sql(lambda s, d, r=rows: r.drop("inst") if name in NO_INST else r, module.ORACLE[name].replace("inst = '1-URGENT'", f"inst = '{target}'"))
+
+
+def test_progressive_matching_keeps_targets_apart(spark):
+    from lagweave.operators import matching
+    from lagweave.plans import catalogue_rules as cr
+
+    got = {tuple(r) for r in cr.match_m6(spark, SMALL).collect()}
+    items, series = cr._panel(spark, SMALL)
+    alone = set()
+    for target in TARGETS:
+        alone |= {(target, r.rule_id, r.t) for r in matching.match_progressive(cr.rules_of(spark), items, series.where(series.inst == target)).collect()}
+    assert got == alone and {g[0] for g in got} == set(TARGETS)
