@@ -171,8 +171,7 @@ def mine_level2(spark, d):
 
 def mine_level3(spark, d):
     """Only frequent pairs are extended."""
-    p = replace(PARAMS, min_support=0.08)
-    return _rounded(_mined(spark, d, 3, p).where("reject_reason <> 'support'").select(*_RULE_COLS))
+    return _rounded(_mined(spark, d, 3).where("reject_reason <> 'support'").select(*_RULE_COLS))
 
 
 def mine_level2_dedupe(spark, d):

@@ -108,3 +108,16 @@ def test_progressive_matching_keeps_targets_apart(spark):
     for target in TARGETS:
         alone |= {(target, r.rule_id, r.t) for r in matching.match_progressive(cr.rules_of(spark), items, series.where(series.inst == target)).collect()}
     assert got == alone and {g[0] for g in got} == set(TARGETS)
+
+
+def test_level3_has_the_support_of_the_other_levels(spark, monkeypatch):
+    """Three items that are on together in every 20th row: under 8 % and over 3 %."""
+    from lagweave.plans import catalogue_rules as cr
+
+    items = spark.range(420).where("id % 20 = 0").selectExpr("id AS i", "explode(array('A_Up', 'B_Up', 'C_Up')) AS attr")
+    series = spark.range(420).selectExpr("'A' AS inst", "id AS i", "1D AS x1", "1D AS x2")
+    monkeypatch.setattr(cr, "_panel", lambda s, d: (items, series))
+    monkeypatch.setattr(cr, "_length", lambda s, d: 420)
+    got = cr.mine_level3(spark, SMALL).collect()
+    assert {r.rule for r in got} == {f"A_Up(t-{x}) & B_Up(t-{x}) & C_Up(t-{x})" for x in range(6)}
+    assert all(cr.PARAMS.min_support <= r.support_rate < 0.08 for r in got)
