@@ -62,7 +62,7 @@ def score_views(spark, d):
     m1, m2, s1, s2 = _means()
     score = sc.rule_score(_c("support_rate"), sc.estimated_concentration(s1, s2), _deviation())
     p = pool(spark, d).select("rule_id", "support_rate", _deviation().alias("deviation"), score.alias("score")).where("score IS NOT NULL")
-    views = [("support", p.where("support_rate >= 0.005")), ("deviation", p.where("deviation <= 1.2"))]
+    views = [("support", p.where("support_rate >= 0.005")), ("deviation", p.where("deviation <= 5.0"))]
     tops = [v.orderBy(F.col("score").desc(), "rule_id").limit(100).select(F.lit(n).alias("view"), "rule_id", F.round("score", 8).alias("score")) for n, v in views]
     return tops[0].unionByName(tops[1])
 

@@ -121,3 +121,12 @@ def test_level3_has_the_support_of_the_other_levels(spark, monkeypatch):
     got = cr.mine_level3(spark, SMALL).collect()
     assert {r.rule for r in got} == {f"A_Up(t-{x}) & B_Up(t-{x}) & C_Up(t-{x})" for x in range(6)}
     assert all(cr.PARAMS.min_support <= r.support_rate < 0.08 for r in got)
+
+
+def test_low_deviation_view_reaches_to_five(spark, monkeypatch):
+    from lagweave.plans import catalogue_pool as cp
+
+    rows = [(i, 0.01, 0.1, 0.1, 0.1, 0.1, -v, v, -v, v) for i, v in enumerate((1.0, 1.2, 3.0, 5.0, 5.1))]
+    df = spark.createDataFrame(rows, "rule_id long, support_rate double, x_mean double, x2_mean double, x_sigma double, x2_sigma double, x_min double, x_max double, x2_min double, x2_max double")
+    monkeypatch.setattr(cp, "pool", lambda s, d: df)
+    assert {r.rule_id for r in cp.score_views(spark, SMALL).where("view = 'deviation'").collect()} == {0, 1, 2, 3}
