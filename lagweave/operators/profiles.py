@@ -47,11 +47,12 @@ def growth(returns: DataFrame) -> DataFrame:
     return returns.withColumn("growth", F.when(zero > 0, 0.0).otherwise(F.when(minus % 2 == 1, -size).otherwise(size)))
 
 
-def autocorrelation(flags: DataFrame, col: str, lags: list[int]) -> DataFrame:
-    """inst, lag, value: correlation of a flag with itself lag rows before."""
-    lagged = flags.select("inst", "i", F.col(col).cast("double").alias("v"), *(F.lag(F.col(col).cast("double"), k).over(series()).alias(f"v{k}") for k in lags))
-    wide = lagged.groupBy("inst").agg(*(correlation("v", f"v{k}").alias(f"c{k}") for k in lags))
-    return wide.select("inst", F.explode(F.array(*(F.struct(F.lit(k).alias("lag"), F.col(f"c{k}").alias("value")) for k in lags))).alias("e")).select("inst", "e.lag", "e.value")
+def autocorrelation(flags: DataFrame, col: str, lags: list[int], by: list[str]) -> DataFrame:
+    """by, lag, value: correlation of a flag with itself lag rows before, along i in each group."""
+    w = Window.partitionBy(*by).orderBy("i")
+    lagged = flags.select(*by, "i", F.col(col).cast("double").alias("v"), *(F.lag(F.col(col).cast("double"), k).over(w).alias(f"v{k}") for k in lags))
+    wide = lagged.groupBy(*by).agg(*(correlation("v", f"v{k}").alias(f"c{k}") for k in lags))
+    return wide.select(*by, F.explode(F.array(*(F.struct(F.lit(k).alias("lag"), F.col(f"c{k}").alias("value")) for k in lags))).alias("e")).select(*by, "e.lag", "e.value")
 
 
 def equal_width_bins(rows: DataFrame, by: list[str], at: str, bins: int) -> DataFrame:

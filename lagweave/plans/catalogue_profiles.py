@@ -10,7 +10,7 @@ from lagweave.functions.scores import localization, score_temporal
 from lagweave.operators import profiles
 from lagweave.operators.panels import EVENTS_SQL, PANEL_SQL, event_returns, order_returns
 from lagweave.operators.quantiles import quantiles
-from lagweave.plans.catalogue_rules import _M1, _matches, _panel, _rounded
+from lagweave.plans.catalogue_rules import _M1, _matches, _panel, _rounded, rules_of
 
 BY = ["inst", "rule_id"]
 
@@ -46,13 +46,15 @@ def cum_return(spark, d):
 
 
 def _flags(spark, d):
+    """Every row of the series for every rule, hit or not."""
     _, s = _panel(spark, d)
-    m = _matches(spark, d).where("rule_id = 1").select("inst", F.col("t").alias("i"), F.lit(1).alias("hit"))
-    return s.join(m, ["inst", "i"], "left").select("inst", "i", "ts", F.coalesce("hit", F.lit(0)).alias("hit"))
+    m = _matches(spark, d).select("inst", "rule_id", F.col("t").alias("i"), F.lit(1).alias("hit"))
+    each = s.select("inst", "i").crossJoin(rules_of(spark).select("rule_id"))
+    return each.join(m, ["inst", "rule_id", "i"], "left").select("inst", "rule_id", "i", F.coalesce("hit", F.lit(0)).alias("hit"))
 
 
 def autocorr(spark, d):
-    return _rounded(profiles.autocorrelation(_flags(spark, d), "hit", list(range(1, 31))), 6)
+    return _rounded(profiles.autocorrelation(_flags(spark, d), "hit", list(range(1, 31)), BY), 6)
 
 
 def time_bins(spark, d):

@@ -130,3 +130,15 @@ def test_low_deviation_view_reaches_to_five(spark, monkeypatch):
     df = spark.createDataFrame(rows, "rule_id long, support_rate double, x_mean double, x2_mean double, x_sigma double, x2_sigma double, x_min double, x_max double, x2_min double, x2_max double")
     monkeypatch.setattr(cp, "pool", lambda s, d: df)
     assert {r.rule_id for r in cp.score_views(spark, SMALL).where("view = 'deviation'").collect()} == {0, 1, 2, 3}
+
+
+def test_autocorrelation_of_every_rule_equals_its_sql(spark, against_sql):
+    """The given SQL is for rule 1; with another number in its place it must give that rule's rows."""
+    from lagweave.plans import catalogue_profiles as cp
+
+    got = cp.autocorr(spark, SMALL).cache()
+    assert {(r.inst, r.rule_id) for r in got.collect()} == {(t, k) for t in TARGETS for k in range(1, 21)}
+    assert {r.value for r in got.where("rule_id IN (16, 20)").collect()} == {None}  # never a match: no correlation
+    for rule in (1, 2, 6):
+        rows = got.where(got.rule_id == rule).drop("rule_id")
+        against_sql(lambda s, d, r=rows: r, cp.ORACLE["autocorr"].replace("rule_id = 1)", f"rule_id = {rule})"))
