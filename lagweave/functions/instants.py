@@ -12,6 +12,16 @@ INSTANT = r"^\d{4}-\d{2}-\d{2}([T ] *\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?( ?(Z|z|[+-
 DAY_US = 86_400_000_000
 
 
+def ntz_us(c: Column) -> Column:
+    """Microseconds of a timestamp without zone since 1970-01-01, whatever the session's zone."""
+    return _interval_us(c - F.lit("1970-01-01").cast("timestamp_ntz"))
+
+
+def _interval_us(since: Column) -> Column:
+    part = lambda unit: F.extract(F.lit(unit), since)
+    return (part("DAY").cast("long") * 86_400 + part("HOUR") * 3_600 + part("MINUTE") * 60) * 1_000_000 + (part("SECOND") * 1_000_000).cast("long")
+
+
 def with_instant_us(df: DataFrame, time: str, out: str) -> DataFrame:
     """Adds the microseconds since 1970-01-01 UTC of the instant that the text names, else NULL.
 
@@ -26,21 +36,24 @@ def with_instant_us(df: DataFrame, time: str, out: str) -> DataFrame:
     local = F.when(bare.rlike(INSTANT), F.regexp_replace(bare, r" ?[Zz]$", ""))
     offset = bare.rlike(r"[T ] *\d{2}:\d{2}[^+-]*[+-]\d{2}:?\d{2}$") & bare.rlike(INSTANT)
     zoned = F.regexp_replace(F.regexp_replace(timed, r"([+-]\d{2})(\d{2})$", "$1:$2"), r" (?=[+-])", "")
-    part = lambda unit: F.extract(F.lit(unit), F.col("_since"))
     return (
         df.withColumn("_bare", F.when(~plain, F.translate(F.btrim(c, F.lit(BLANKS)), "/", "-")))
         .withColumn("_offset", F.when(bare.isNotNull(), offset))
         .withColumn("_local", F.when(bare.isNull(), c).when(~F.col("_offset"), local))
         .withColumn("_since", F.col("_local").try_cast("timestamp_ntz") - F.lit("1970-01-01").cast("timestamp_ntz"))
-        .withColumn("_utc", (part("DAY").cast("long") * 86_400 + part("HOUR") * 3_600 + part("MINUTE") * 60) * 1_000_000 + (part("SECOND") * 1_000_000).cast("long"))
+        .withColumn("_utc", _interval_us(F.col("_since")))
         .withColumn(out, F.coalesce("_utc", F.when(F.col("_offset"), F.unix_micros(zoned.try_cast("timestamp")))))
         .drop("_bare", "_offset", "_local", "_since", "_utc")
     )
 
 
-def floor_to(us: Column, width: Column) -> Column:
-    """Start of the width-aligned interval that holds us, also before 1970."""
-    return us - F.pmod(us, width)
+def step_of(us: Column, width: Column) -> Column:
+    """Number of the width-aligned interval that holds us, 0 being the first from 1970 on."""
+    return ((us - F.pmod(us, width)) / width).cast("long")
+
+
+def day_of(us: Column) -> Column:
+    return step_of(us, F.lit(DAY_US))
 
 
 def utc_text(us: Column, pattern: str) -> Column:

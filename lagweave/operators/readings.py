@@ -7,10 +7,12 @@ arrival, then the greatest id, is the reading; a NULL arrival or id is the earli
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lagweave.functions.instants import with_instant_us
+from lagweave.functions.instants import ntz_us, with_instant_us
 from lagweave.functions.keys import encode_key
 
 
@@ -19,25 +21,32 @@ def finite(c):
     return F.coalesce(~F.isnan(c) & (F.abs(c) != float("inf")), F.lit(False))
 
 
-def readings(df: DataFrame, block_us: int | None = None, block_periods: int | None = None, source: str = "feed", time: str = "t", value: str = "x", arrived: str = "arrived_at", row_id: str = "row_id", bar: str = "bar_minutes") -> DataFrame:
-    """Columns k (encoded source), bar, block, us, x, id; one row per reading.
+def beside(which: str, col: str, by: list[str], order: str) -> Column:
+    """The nearest value of col that is not NULL before (lag) or after (lead) the row; one pass, where a frame to the end would take a pass per row."""
+    return F.expr(f"{which}({col}) IGNORE NULLS OVER (PARTITION BY {', '.join(by)} ORDER BY {order})")
+
+
+def _newest(arrived: Column, row_id: Column) -> Column:
+    """One number that orders deliveries by arrival, then id, NULL being the earliest of each. Two longs fit side by side into 38 digits,
+    and unlike a struct such a number is of fixed width, so that the choice of the newest is a hash aggregate.
+    """
+    at = F.coalesce(ntz_us(arrived), F.lit(-(10**18))).cast("decimal(19,0)")
+    own = F.coalesce(row_id.cast("decimal(19,0)"), F.lit(Decimal(-93 * 10**17)))
+    return (at * F.lit(Decimal(2 * 10**19))).cast("decimal(38,0)") + own
+
+
+def readings(df: DataFrame, ids: bool = False, bars: bool = False, source: str = "feed", time: str = "t", value: str = "x", arrived: str = "arrived_at", row_id: str = "row_id", bar: str = "bar_minutes") -> DataFrame:
+    """Columns k (encoded source), us, x, with bars also bar, with ids also id; one row per reading.
 
-    block is the time block of the reading, block_us wide or block_periods of the source's own bars; windows over
-    (k, block) replace windows over a whole source. The filter on the row number becomes a limit before the
-    shuffle, so a flood of deliveries of one instant is cut on the map side.
-    Rows whose bar is NULL or not positive are left out where blocks are counted in bars. Other columns are not read.
+    Deliveries of one source and instant meet in a hash aggregate with a map-side part, so a flood of them, whatever its size, leaves each input
+    task as one row. With bars, a bar that is NULL or not positive takes the row out. Other columns are not read.
     """
-    cols = [encode_key(F.col(source)).alias("k"), F.col(value).cast("double").alias("x"), F.col(arrived).cast("timestamp_ntz").alias("arrived"), F.col(row_id).alias("id"), F.col(bar).cast("long").alias("bar"), F.col(time).alias("us_text")]
-    if block_periods is None:
-        cols.pop(4)
-    rows = with_instant_us(df.where(F.col(value).isNotNull()).select(*cols), "us_text", "us").drop("us_text")
-    if block_periods is not None:
-        rows = rows.where(F.col("bar") > 0)
-        width = F.col("bar") * F.lit(60_000_000 * block_periods)
-    else:
-        width = F.lit(block_us)
-    rows = rows.withColumn("block", ((F.col("us") - F.pmod(F.col("us"), width)) / width).cast("long"))
-    # The instant leads the sort, as it tells rows apart best. Its NULLs are dropped after the window: a filter before it would parse every text twice.
-    newest = Window.partitionBy("us", "k", "block").orderBy(F.col("arrived").desc_nulls_last(), F.col("id").desc_nulls_last())
-    valued = rows.withColumn("x", F.when(F.col("us").isNotNull(), F.col("x")))
-    return valued.withColumn("rn", F.row_number().over(newest)).where("rn = 1 AND x IS NOT NULL").drop("rn", "arrived")
+    cols = [encode_key(F.col(source)).alias("k"), F.col(value).cast("double").alias("x"), F.col(arrived).cast("timestamp_ntz").alias("arrived"), F.col(row_id).alias("id"), F.col(time).alias("us_text")]
+    rows = df.where(F.col(value).isNotNull())
+    if bars:
+        rows, cols = rows.where(F.col(bar) > 0), [*cols, F.col(bar).cast("long").alias("bar")]
+    rows = with_instant_us(rows.select(*cols), "us_text", "us").drop("us_text").withColumn("at", _newest(F.col("arrived"), F.col("id")))
+    # NULL instants go after the aggregate: a filter before it would parse every text twice.
+    keys = ["k", *(["bar"] if bars else []), "us"]
+    got = rows.groupBy(*keys).agg(F.max_by("x", "at").alias("x"), *([F.max_by("id", "at").alias("id")] if ids else []))
+    return got.where("us IS NOT NULL")

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lagweave.functions.instants import DAY_US, utc_text
+from lagweave.functions.instants import DAY_US, day_of, utc_text
 from lagweave.functions.keys import decode_key
 from lagweave.operators.readings import finite, readings
 
@@ -49,9 +49,9 @@ def rolling_totals(df: DataFrame, windows: tuple[int, ...] = (7, 30), **columns)
     time or with NULL value take no part; NaN and infinite readings make their day active but add nothing; repeated deliveries
     count once. An empty table gives no rows.
     """
-    got = readings(df, block_us=DAY_US, **columns)
+    got = readings(df, **columns)
     ok = finite(F.col("x"))
-    daily = got.groupBy("k", F.col("block").alias("day")).agg(F.count(F.lit(1)).alias("n_readings"), F.count_if(ok).alias("n"), F.sum(F.when(ok, F.col("x"))).alias("sum"))
+    daily = got.groupBy("k", day_of(F.col("us")).alias("day")).agg(F.count(F.lit(1)).alias("n_readings"), F.count_if(ok).alias("n"), F.sum(F.when(ok, F.col("x"))).alias("sum"))
     order = Window.partitionBy("k").orderBy("day")
     spans = daily.withColumn("end", F.coalesce(F.lead("day").over(order), F.col("day") + 1))
     dense = spans.select("k", F.col("day").alias("active"), "n_readings", "n", "sum", F.explode(F.sequence(F.col("day"), F.col("end") - 1)).alias("day"))

@@ -3,13 +3,13 @@
 Method. A mergeable quantile sketch per source and hour of the day: counts in logarithmic cells (64 to the octave, under
 1.1 % wide) with the least and greatest value of each; partitions and days merge by adding counts. Rows outside the hour's
 expanded interquartile fences, with an implausible rate of change, or in a run of equal values (zero variance) are flagged.
-The hours merged give each source's median and a lower bound of the median absolute deviation (MAD); rows further out than
-15 such bounds are candidates, a superset of the true ones, and are settled by the exact median and MAD, which the sketch
-confines to a few cells: only the values of those cells are sorted.
+The hours' sketches merged give each source's median and median absolute deviation (MAD) within bounds. These bounds decide
+for almost every row whether it lies further out than 15 MADs; only sources that have a row between them are settled by the
+exact median and MAD, found by narrowing within the few cells that the merged sketch leaves open.
 
 Scale. Rows meet in (source, time block), never in a whole source; statistics reach them by one row per source and block.
 Sketches combine on the map side. Windows over a source run over its cells or blocks, whose numbers are bounded by the
-range of doubles and by the calendar.
+range of doubles and by the calendar; no window or sort runs over a source's values.
 """
 
 from __future__ import annotations
@@ -17,9 +17,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lagweave.functions.instants import DAY_US
+from lagweave.functions.instants import DAY_US, step_of
 from lagweave.functions.keys import encode_key
-from lagweave.operators.readings import finite, readings
+from lagweave.operators.narrowing import BROADCAST_INTERVALS, FEW, values_at
+from lagweave.operators.readings import beside, finite, readings
 from lagweave.session import stored
 
 CELLS_PER_OCTAVE = 64
@@ -27,6 +28,8 @@ FAR = 15.0
 FENCE = 3.0
 RATE = 20.0
 STUCK = 6
+#: The greatest double.
+MOST = 1.7976931348623157e308
 
 
 def cell_of(x: Column, per_octave: int = CELLS_PER_OCTAVE) -> Column:
@@ -79,136 +82,163 @@ def _distance_cells(cells: DataFrame, centre: DataFrame, lo: str, hi: str) -> Da
 
 
 def source_bounds(cells: DataFrame) -> DataFrame:
-    """k, med_lo, med_hi, mad_lb: certain bounds of the median and a certain lower bound of the MAD, from the sketch by k."""
+    """k, total, med_lo, med_hi, mad_lo, mad_hi: certain bounds of the median and of the MAD, from the sketch by k."""
     m = median_bounds(cells)
-    r = ranked(_distance_cells(cells, m.drop("total"), "med_lo", "med_hi"), ["k"], ["dl", "cell"])
-    lower = r.groupBy("k").agg(F.max(F.when(_holds(F.floor((F.col("total") - 1) / 2)), F.col("dl"))).alias("mad_lb"))
-    return m.join(lower, "k")
+    d = _distance_cells(cells, m.drop("total"), "med_lo", "med_hi")
+    first, last = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
+    low = ranked(d, ["k"], ["dl", "cell"]).groupBy("k").agg(F.max(F.when(_holds(first), F.col("dl"))).alias("mad_lo"))
+    high = ranked(d, ["k"], ["du", "cell"]).groupBy("k").agg(F.max(F.when(_holds(last), F.col("du"))).alias("mad_hi"))
+    return m.join(low, "k").join(high, "k")
+
 
+def _open_values(rows: DataFrame, cells: DataFrame) -> DataFrame:
+    """k, x, n, and the other columns of cells: each value of those cells and how often it occurs. Few cells are broadcast; the join by (k, cell) spreads a source."""
+    few = cells.select("k", "cell").distinct().count() <= BROADCAST_INTERVALS
+    keep = [c for c in cells.columns if c != "cell"]
+    met = rows.select("k", "x", cell_of(F.col("x")).alias("cell")).join(F.broadcast(cells) if few else cells, ["k", "cell"])
+    return met.groupBy(*keep, "x").agg(F.count(F.lit(1)).alias("n"))
 
-def _middle(counts: DataFrame, value: str, total: str) -> DataFrame:
-    """k, mid: mean of the two middle values of each source, from counts of single values (k, value, n, before), before being the rows below all of them."""
-    run = Window.partitionBy("k").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    c = counts.withColumn("below", F.col("before") + F.sum("n").over(run) - F.col("n"))
-    one = lambda rank: F.max(F.when(_holds(rank), F.col(value)))
-    a, b = one(F.floor((F.col(total) - 1) / 2)), one(F.floor(F.col(total) / 2))
-    return c.groupBy("k").agg(((a + b) / 2).alias("mid"))
 
+def _middle_ranks() -> Column:
+    return F.explode(F.array_distinct(F.array(F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2))))
 
-def exact_median_mad(counts: DataFrame, cells: DataFrame) -> DataFrame:
+
+def exact_median_mad(rows: DataFrame, cells: DataFrame, few: int = FEW) -> DataFrame:
     """k, med, mad, exact, with the two middle values averaged.
 
-    counts: (k, x, n), how often each finite value occurs; cells: its sketch by k. Only the values of cells that can hold a
-    middle rank are sorted: they are picked by (k, cell), which spreads a hot source.
+    rows: (k, x), finite; cells: their sketch by k, a table. Values of cells that cannot hold a middle rank are never looked at.
     """
-    at = counts.withColumn("cell", cell_of(F.col("x")))
-    r = ranked(cells, ["k"], ["cell"])
-    first, last = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
-    wanted = r.where(_holds(first) | _holds(last)).withColumn("before", F.min("below").over(Window.partitionBy("k"))).select("k", "cell", "before", "total")
-    med = stored(_middle(at.join(wanted, ["k", "cell"]), "x", "total").withColumnRenamed("mid", "med"))
+    r = ranked(cells, ["k"], ["cell"]).withColumn("r", _middle_ranks()).where(_holds(F.col("r")))
+    state = stored(r.select("k", "cell", "r", "below", "lo", "hi"))
+    open_cells = state.where("lo < hi").select("k", "cell").distinct()
+    med = values_at(stored(_open_values(rows, open_cells)), state.drop("cell"), few=few).groupBy("k").agg(F.avg("v").alias("med"))
+    med = stored(med)
 
     d = _distance_cells(cells, med, "med", "med")
-    for edge in ("dl", "du"):  # the least and greatest that the MAD can be
-        rank = first if edge == "dl" else last
+    first, last = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
+    for edge, rank in (("dl", first), ("du", last)):  # the least and greatest that the MAD can be
         d = ranked(d, ["k"], [edge, "cell"]).withColumn(f"mad_{edge}", F.max(F.when(_holds(rank), F.col(edge))).over(Window.partitionBy("k"))).drop("below")
     apart = F.col("du") < F.col("mad_dl")
-    d = d.withColumn("before", F.coalesce(F.sum(F.when(apart, F.col("n"))).over(Window.partitionBy("k")), F.lit(0)))
-    wanted = d.where(~apart & (F.col("dl") <= F.col("mad_du"))).select("k", "cell", "med", "before", "total")
-    far = at.join(wanted, ["k", "cell"]).withColumn("d", F.abs(F.col("x") - F.col("med"))).groupBy("k", "d", "before", "total").agg(F.sum("n").alias("n"))
-    return med.join(_middle(far, "d", "total").withColumnRenamed("mid", "mad"), "k")
+    d = d.withColumn("below", F.coalesce(F.sum(F.when(apart, F.col("n"))).over(Window.partitionBy("k")), F.lit(0)))
+    wanted = d.where(~apart & (F.col("dl") <= F.col("mad_du"))).select("k", "cell", "med", "below", "total")
+    away = F.least(F.abs(F.col("x") - F.col("med")), F.lit(MOST))
+    far = stored(_open_values(rows, wanted).groupBy("k", "below", "total", away.alias("x")).agg(F.sum("n").alias("n")))
+    state = stored(far.groupBy("k", "below", "total").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).withColumn("r", _middle_ranks()).drop("total"))
+    mad = values_at(far.select("k", "x", "n"), state, few=few).groupBy("k").agg(F.avg("v").alias("mad"))
+    return med.join(mad, "k")
 
 
 def impossible(x: Column, least: float) -> Column:
     return ~finite(x) | (x < least)
 
 
-def statistics(rows: DataFrame, least: float, fence: float) -> DataFrame:
-    """Per source k: bounds of its median and MAD from the merged sketch, the exact ones, and the fences of each hour as a map.
+def statistics(rows: DataFrame, least: float, fence: float, far: float, few: int = FEW) -> DataFrame:
+    """Per source k: med_lo, med_hi, mad_lo, mad_hi from the merged sketch, equal where the source had to be settled exactly, and the fences of each hour as a map.
 
-    Every table written on the way has at most one row per source and distinct value.
+    rows is a table; it is read once for the sketch and once for the values of open cells.
     """
     fine = rows.where(~impossible(F.col("x"), least))
-    hours = sketch(fine, ["k", "hour"])
-    fences = stored(hour_fences(hours, fence).groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct("hour", F.struct("low", "high")))).alias("fences"), F.max("iqr").alias("iqr")))
-    counts = stored(fine.groupBy("k", "x").agg(F.count(F.lit(1)).alias("n")))
-    cells = counts.groupBy("k", cell_of(F.col("x")).alias("cell")).agg(F.sum("n").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
-    return stored(source_bounds(cells).join(fences, "k", "left").join(exact_median_mad(counts, cells), "k", "left"))
+    hours = stored(sketch(fine, ["k", "hour"]))
+    fences = hour_fences(hours, fence).groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct("hour", F.struct("low", "high")))).alias("fences"), F.max("iqr").alias("iqr"))
+    cells = stored(merge(hours, ["k"]))
+    bounds = stored(source_bounds(cells).join(fences, "k", "left"), done=[hours])
+    # A source is open if a value of one of its cells may or may not be far: the cell's ends tell.
+    c = cells.select("k", "lo", "hi").join(bounds, "k")
+    unsure = lambda x: _reach_most(F.col(x)) > far * F.col("mad_lo"), lambda x: _reach_least(F.col(x)) <= far * F.col("mad_hi")
+    maybe = (unsure[0]("lo") | unsure[0]("hi")) & (unsure[1]("lo") | unsure[1]("hi"))
+    open_k = stored(c.where(maybe).select("k").distinct())
+    if open_k.isEmpty():
+        return bounds
+    # Sources are many at most; rows of open ones are picked by their cells, so only the cells are joined here.
+    exact = exact_median_mad(fine.select("k", "x"), stored(cells.join(open_k, "k", "left_semi")), few)
+    settled = bounds.join(exact, "k", "left")
+    one = lambda side, value: F.coalesce(value, side).alias(side)
+    return stored(settled.select("k", "total", one("med_lo", "med"), one("med_hi", "med"), one("mad_lo", "mad"), one("mad_hi", "mad"), "fences", "iqr"))
+
 
+def _reach_most(x: Column) -> Column:
+    return F.greatest(F.abs(x - F.col("med_lo")), F.abs(x - F.col("med_hi")))
 
-def flag_values(rows: DataFrame, least: float = -100.0, fence: float = FENCE, far: float = FAR, order: str | None = None, rate: float = RATE, stuck: int = STUCK) -> DataFrame:
+
+def _reach_least(x: Column) -> Column:
+    return F.greatest(F.lit(0.0), F.col("med_lo") - x, x - F.col("med_hi"))
+
+
+def flag_values(rows: DataFrame, least: float = -100.0, fence: float = FENCE, far: float = FAR, order: str | None = None, rate: float = RATE, stuck: int = STUCK, few: int = FEW) -> DataFrame:
     """Flags rows (k, block, hour, id, x) against their source; order: a column of microseconds for rate and stuck runs.
 
-    Adds impossible (NaN, infinite or below least), fenced (outside the hour's fences), candidate (can be further than
-    far MADs from the median), far (is, by the exact median and MAD), rate (change per hour since the reading before
-    greater than rate times the source's widest interquartile range) and stuck (in a run of at least `stuck` equal
-    values other than zero). Rows must be unique; a NULL x is in no case. block spreads the rows of a source.
+    Adds impossible (NaN, infinite or below least), fenced (outside the hour's fences), far (further than far MADs from the median,
+    exactly), rate (change per hour, or in less, since the reading before, if that is finite, greater than rate times
+    the source's widest interquartile range) and stuck (in a run of at least `stuck` equal values other than zero). Rows must be unique;
+    a NULL x is in no case; a source without a finite value has none but impossible ones. block spreads the rows of a source.
     """
     rows = stored(rows)
-    stats = statistics(rows, least, fence)
-    blocks = rows.groupBy("k", "block").agg(F.count(F.lit(1)).alias("in_block"))
-    if order:
-        edges = _edge_runs(rows, order, stuck)
-        blocks = blocks.join(edges, ["k", "block"], "left")
-    info = blocks.join(stats, "k", "left")
-    seen = rows.repartition("k", "block") if order else rows
-    if order:
-        w = Window.partitionBy("k", "block").orderBy(order)
-        seen = seen.withColumn("before_x", F.lag("x").over(w)).withColumn("before_us", F.lag(order).over(w))
-        change = F.when(F.col("before_us").isNull() | ~F.col("before_x").eqNullSafe(F.col("x")), 1).otherwise(0)
-        seen = seen.withColumn("run", F.sum(change).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        seen = seen.withColumn("run_n", F.count(F.lit(1)).over(Window.partitionBy("k", "block", "run"))).withColumn("runs", F.max("run").over(Window.partitionBy("k", "block")))
-    got = seen.join(info, ["k", "block"], "left")
+    stats = statistics(rows, least, fence, far, few)
+    seen = _runs(rows.repartition("k", "block"), order) if order else rows
+    info = _edges(seen, order) if order else rows.groupBy("k", "block").agg(F.count(F.lit(1)).alias("in_block"))
+    got = seen.join(info.join(stats, "k", "left"), ["k", "block"], "left")
     x, bad = F.col("x"), impossible(F.col("x"), least)
-    some = x.isNotNull()
-    reach = lambda mid: F.abs(x - mid)
+    good = x.isNotNull() & ~bad
     band = F.col("fences")[F.col("hour")]
-    out = got.withColumn("impossible", F.coalesce(bad & some, F.lit(False)))
-    good = some & ~bad
-    candidate = good & (F.greatest(reach(F.col("med_lo")), reach(F.col("med_hi"))) > far * F.col("mad_lb"))
     flags = {
+        "impossible": bad & x.isNotNull(),
         "fenced": good & ((x < band["low"]) | (x > band["high"])),
-        "candidate": candidate,
-        "far": candidate & (reach(F.col("med")) > far * F.col("mad")),
+        # Between the bounds nothing is left: they are equal in any source that has a row there.
+        "far": good & (_reach_least(x) > far * F.col("mad_hi")),
         "rate": F.lit(False),
         "stuck": F.lit(False),
     }
     if order:
         hours = (F.col(order) - F.coalesce("before_us", "left_us")) / F.lit(3_600_000_000)
-        flags["rate"] = good & (F.abs(x - F.coalesce("before_x", "left_x")) / F.greatest(hours, F.lit(1.0)) > rate * F.col("iqr"))
-        n = F.col("run_n") + F.when(F.col("run") == 1, F.col("first_more")).otherwise(0) + F.when(F.col("run") == F.col("runs"), F.col("last_more")).otherwise(0)
-        flags["stuck"] = good & (x != 0) & (n >= stuck)
-    return out.select(*rows.columns, "impossible", *(F.coalesce(c, F.lit(False)).alias(n) for n, c in flags.items()))
-
-
-def _edge_runs(rows: DataFrame, order: str, stuck: int) -> DataFrame:
+        before = F.coalesce("before_x", "left_x")
+        flags["rate"] = good & finite(before) & (F.abs(x - before) / F.greatest(hours, F.lit(1.0)) > rate * F.col("iqr"))
+        more = F.when(F.col("start") == 1, F.col("first_more")).otherwise(0) + F.when(F.col("end") == F.col("in_block"), F.col("last_more")).otherwise(0)
+        flags["stuck"] = good & (x != 0) & (F.col("end") - F.col("start") + 1 + more >= stuck)
+    return got.select(*rows.columns, *(F.coalesce(c, F.lit(False)).alias(n) for n, c in flags.items()))
+
+
+def _runs(rows: DataFrame, order: str) -> DataFrame:
+    """Adds before_x, before_us (the row before in the block) and start, end (places in the block at which the row's run of equal values begins and ends), in_block."""
+    by = ["k", "block"]
+    w = Window.partitionBy(*by).orderBy(order)
+    r = rows.select("*", F.lag("x").over(w).alias("before_x"), F.lag(order).over(w).alias("before_us"), F.row_number().over(w).alias("place"), F.count(F.lit(1)).over(Window.partitionBy(*by)).alias("in_block"))
+    change = (F.col("place") == 1) | ~F.col("before_x").eqNullSafe(F.col("x"))
+    r = r.withColumn("change", F.when(change, F.col("place")))
+    start = F.max("change").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    r = r.select("*", start.alias("start"), F.coalesce(beside("lead", "change", by, order) - 1, F.col("in_block")).alias("end"))
+    return r.drop("change")
+
+
+def _edges(seen: DataFrame, order: str) -> DataFrame:
     """Per (k, block): rows equal to the block's first (last) value that directly precede (follow) it in other blocks, and the reading before the block.
 
     Each block gives its first and its last run of equal values; runs that touch across blocks are joined in a window over
     the source's blocks, of which there are as many as the calendar allows.
     """
-    w = Window.partitionBy("k", "block").orderBy(order)
-    r = rows.repartition("k", "block").select("k", "block", order, "x", F.lag("x").over(w).alias("px"), F.lag(order).over(w).alias("pu"))
-    change = F.when(F.col("pu").isNull() | ~F.col("px").eqNullSafe(F.col("x")), 1).otherwise(0)
-    r = r.withColumn("run", F.sum(change).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = r.groupBy("k", "block", "run").agg(F.count(F.lit(1)).alias("n"), F.max("x").alias("x"), F.max(order).alias("us"))
-    last = runs.groupBy("k", "block").agg(F.min(F.struct("run", "n", "x", "us")).alias("a"), F.max(F.struct("run", "n", "x", "us")).alias("b"))
-    pieces = last.select("k", "block", F.explode(F.when(F.col("a.run") == F.col("b.run"), F.array(F.struct(F.lit(2).alias("at"), F.col("a").alias("p")))).otherwise(F.array(F.struct(F.lit(1).alias("at"), F.col("a").alias("p")), F.struct(F.lit(3).alias("at"), F.col("b").alias("p"))))).alias("e")).select("k", "block", "e.at", "e.p.n", "e.p.x", "e.p.us")
+    first, last = F.col("start") == 1, F.col("end") == F.col("in_block")
+    b = seen.groupBy("k", "block", "in_block").agg(
+        F.count_if(first).alias("n1"), F.count_if(last).alias("n2"), F.max(F.when(first, F.col("x"))).alias("x1"), F.max(F.when(last, F.col("x"))).alias("x2"), F.max(order).alias("us2"), F.max(F.when(first, F.col(order))).alias("us1"),
+    )
+    piece = lambda at, k: F.struct(F.lit(at).alias("at"), F.col(f"n{k}").alias("n"), F.col(f"x{k}").alias("x"), F.col(f"us{k}").alias("us"))
+    single = F.col("n1") == F.col("in_block")
+    pieces = b.select("k", "block", "in_block", F.explode(F.when(single, F.array(piece(2, 1))).otherwise(F.array(piece(1, 1), piece(3, 2)))).alias("e")).select("k", "block", "in_block", "e.*")
     line = Window.partitionBy("k").orderBy("block", "at")
     joins = (F.col("at") != 3) & F.lag("x").over(line).eqNullSafe(F.col("x")) & F.lag("at").over(line).isNotNull()
     p = pieces.withColumn("left_x", F.lag("x").over(line)).withColumn("left_us", F.lag("us").over(line)).withColumn("g", F.when(joins, 0).otherwise(1))
     p = p.withColumn("g", F.sum("g").over(line.rowsBetween(Window.unboundedPreceding, 0)))
     p = p.withColumn("more", F.sum("n").over(Window.partitionBy("k", "g")) - F.col("n"))
-    return p.groupBy("k", "block").agg(
-        F.max(F.when(F.col("at") == 1, F.col("more")).when(F.col("at") == 2, F.col("more")).otherwise(0)).alias("first_more"),
+    return p.groupBy("k", "block", "in_block").agg(
+        F.max(F.when(F.col("at") != 3, F.col("more")).otherwise(0)).alias("first_more"),
         F.max(F.when(F.col("at") == 3, F.col("more")).otherwise(0)).alias("last_more"),
-        F.min_by(F.struct("left_x", "left_us"), "at").alias("l"),
-    ).select("k", "block", "first_more", "last_more", F.col("l.left_x").alias("left_x"), F.col("l.left_us").alias("left_us"))
+        F.max(F.when(F.col("at") != 3, F.col("left_x"))).alias("left_x"),
+        F.max(F.when(F.col("at") != 3, F.col("left_us"))).alias("left_us"),
+    ).drop("in_block")
 
 
 def feed_rows(df: DataFrame, block_us: int = 16 * DAY_US, **columns) -> DataFrame:
     """Readings of feeds as rows for flag_values."""
-    got = readings(df, block_us=block_us, **columns)
-    return got.withColumn("hour", F.floor(F.pmod(F.col("us"), F.lit(DAY_US)) / F.lit(3_600_000_000)).cast("int"))
+    got = readings(df, ids=True, **columns)
+    return got.select("k", step_of(F.col("us"), F.lit(block_us)).alias("block"), F.floor(F.pmod(F.col("us"), F.lit(DAY_US)) / F.lit(3_600_000_000)).cast("int").alias("hour"), "id", "x", "us")
 
 
 def measure_rows(df: DataFrame, source: str, measures: list[str], row_id: str, at: str, spread: int = 32) -> DataFrame:

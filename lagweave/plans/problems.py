@@ -16,7 +16,7 @@ IMPOSSIBLE_BELOW = -100.0
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periods without a reading. Each is reported from its finished row: either it has its filled value or is marked as missing."""
     grid = regular_grid(table(spark, sf_dir, "usdjpy"), least=IMPOSSIBLE_BELOW)
-    return grid.where((F.col("n_readings") == 0) & (F.col("x").isNotNull() | (F.col("status") == "missing"))).select("feed", "period_start")
+    return grid.where((F.col("status") != "observed") & (F.col("n_readings") == 0) & (F.col("x").isNotNull() | (F.col("status") == "missing"))).select("feed", "period_start")
 
 
 def p1_grid(spark: SparkSession, sf_dir: str) -> DataFrame:

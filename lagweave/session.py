@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+import weakref
 import zipfile
+from collections.abc import Iterable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,31 +35,51 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names in spark.checkpoint.dir; make one only where the setting is absent (tests)."""
+    """Use the folder the cluster names in spark.checkpoint.dir. Only a session whose tasks run in the driver's own process may go
+    without one: executors of any other would write to their own disks what nobody else can read, so that is an error.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir():
         return
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not named and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise ValueError(f"spark.checkpoint.dir names no folder that all executors of {sc.master} share")
     sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "lagweave-checkpoint"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, which survives the loss of executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+#: The folder of each table written by stored(), as long as its DataFrame lives.
+_FOLDERS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def _folder(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
 
+def stored(df: DataFrame, done: Iterable[DataFrame] = ()) -> DataFrame:
+    """Cut the lineage with a table in the checkpoint folder, which survives the loss of executors. Unlike a checkpoint it is columnar and
+    compressed, and the optimizer knows its size. It goes with discard(), or when the session's JVM ends.
 
-def stored(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a table in the checkpoint folder. Unlike a checkpoint it is columnar and compressed, and the
-    optimizer knows its size; it goes when the session's JVM ends.
+    done: stored tables that nothing reads once this one is written; they are deleted.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    fs, at = _folder(spark, path)
+    fs.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    _FOLDERS[out] = path
+    discard(*done)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables written by stored(); other DataFrames are left alone."""
+    for t in tables:
+        if path := _FOLDERS.pop(t, None):
+            fs, at = _folder(t.sparkSession, path)
+            fs.delete(at, True)
 
 
 _SHIPPED: set[str] = set()
