@@ -7,12 +7,10 @@ arrival, then the greatest id, is the reading; a NULL arrival or id is the earli
 
 from __future__ import annotations
 
-from decimal import Decimal
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lagweave.functions.instants import ntz_us, with_instant_us
+from lagweave.functions.instants import with_instant_us
 from lagweave.functions.keys import encode_key
 
 
@@ -26,27 +24,19 @@ def beside(which: str, col: str, by: list[str], order: str) -> Column:
     return F.expr(f"{which}({col}) IGNORE NULLS OVER (PARTITION BY {', '.join(by)} ORDER BY {order})")
 
 
-def _newest(arrived: Column, row_id: Column) -> Column:
-    """One number that orders deliveries by arrival, then id, NULL being the earliest of each. Two longs fit side by side into 38 digits,
-    and unlike a struct such a number is of fixed width, so that the choice of the newest is a hash aggregate.
-    """
-    at = F.coalesce(ntz_us(arrived), F.lit(-(10**18))).cast("decimal(19,0)")
-    own = F.coalesce(row_id.cast("decimal(19,0)"), F.lit(Decimal(-93 * 10**17)))
-    return (at * F.lit(Decimal(2 * 10**19))).cast("decimal(38,0)") + own
-
-
 def readings(df: DataFrame, ids: bool = False, bars: bool = False, source: str = "feed", time: str = "t", value: str = "x", arrived: str = "arrived_at", row_id: str = "row_id", bar: str = "bar_minutes") -> DataFrame:
     """Columns k (encoded source), us, x, with bars also bar, with ids also id; one row per reading.
 
-    Deliveries of one source and instant meet in a hash aggregate with a map-side part, so a flood of them, whatever its size, leaves each input
+    Deliveries of one source and instant meet in an aggregate with a map-side part, so a flood of them, whatever its size, leaves each input
     task as one row. With bars, a bar that is NULL or not positive takes the row out. Other columns are not read.
     """
     cols = [encode_key(F.col(source)).alias("k"), F.col(value).cast("double").alias("x"), F.col(arrived).cast("timestamp_ntz").alias("arrived"), F.col(row_id).alias("id"), F.col(time).alias("us_text")]
     rows = df.where(F.col(value).isNotNull())
     if bars:
         rows, cols = rows.where(F.col(bar) > 0), [*cols, F.col(bar).cast("long").alias("bar")]
-    rows = with_instant_us(rows.select(*cols), "us_text", "us").drop("us_text").withColumn("at", _newest(F.col("arrived"), F.col("id")))
-    # NULL instants go after the aggregate: a filter before it would parse every text twice.
+    rows = with_instant_us(rows.select(*cols), "us_text", "us").drop("us_text")
+    # NULL instants go by their value, NULL too: a filter on the key would sink below the aggregate and parse every text twice. In a struct NULL comes before any value.
     keys = ["k", *(["bar"] if bars else []), "us"]
-    got = rows.groupBy(*keys).agg(F.max_by("x", "at").alias("x"), *([F.max_by("id", "at").alias("id")] if ids else []))
-    return got.where("us IS NOT NULL")
+    value_of = F.struct(F.when(F.col("us").isNotNull(), F.col("x")).alias("x"), *(["id"] if ids else []))
+    got = rows.groupBy(*keys).agg(F.max_by(value_of, F.struct("arrived", "id")).alias("r"))
+    return got.select(*keys, "r.*").where("x IS NOT NULL")
