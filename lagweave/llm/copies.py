@@ -6,7 +6,8 @@ and fingerprint; each member's conditions are compared with those of the group's
 Members of another set (a collision of fingerprints) are regrouped among themselves by their sorted conditions, so the
 result is exact whatever the hash does.
 
-Scale. Grouping combines on the map side; members meet their group in a join that spreads the heaviest groups. The
+Scale. Grouping is a hash aggregate of numbers, combined on the map side. A rule's conditions travel once to its group, as one
+text; only rules with copies go on to be compared with their group's first. Both joins spread the heaviest groups. The
 hashed rows and the labels are written once each, as both are read several times.
 """
 
@@ -47,16 +48,19 @@ def label_copies(df: DataFrame, fields: list[str], group: str, row_id: str, bits
     condition are equal to each other. Rows with NULL row_id are left out. Other columns are not read. An empty table gives no rows.
     """
     rows = df.where(F.col(row_id).isNotNull()).select(F.col(row_id).alias("id"), encode_key(F.col(group)).alias("k"), condition_set(fields).alias("conditions"))
-    rows = rows.select("*", fingerprint(F.col("conditions"), "condition", 1, bits).alias("f1"), fingerprint(F.col("conditions"), "condition", 2, bits).alias("f2"))
-    rows = stored(rows)
+    rows = stored(rows.select("id", "k", *(fingerprint(F.col("conditions"), "condition", w, bits).alias(f"f{w}") for w in (1, 2)), F.array_join("conditions", " ").alias("text")))
     keys = ["k", "f1", "f2"]
-    groups = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "conditions")).alias("head"))
+    groups = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
     met = spread_join(rows, groups, keys, "n", "id", least=least_hot)
-    same = (F.size("conditions") == F.size("head.conditions")) & (F.size(F.array_except("conditions", "head.conditions")) == 0)
-    text = F.when(~same, F.array_join(F.array_sort("conditions"), " "))
-    met = stored(met.select("id", "k", F.col("head.id").alias("first"), text.alias("text")))
-    out = met.where("text IS NULL").select("k", "id", "first")
-    strays = met.where("text IS NOT NULL").select("id", "k", "text")
+    several = lambda c: F.when(F.col("n") > 1, F.col(c)).alias(c)
+    met = stored(met.select("id", "k", "first", "n", *map(several, ("f1", "f2", "text"))), done=[rows])
+    heads = met.where("id = first AND n > 1").groupBy(*keys).agg(F.max("n").alias("n"), F.min("text").alias("head"))  # one, also where an id repeats
+    others = spread_join(met.where("id <> first").drop("n"), heads, keys, "n", "id", least=least_hot)
+    own, head = F.split("text", " "), F.split("head", " ")  # conditions hold letters and digits alone
+    same = (F.size(own) == F.size(head)) & (F.size(F.array_except(own, head)) == 0)
+    others = stored(others.select("id", "k", "first", F.when(~same, F.array_join(F.array_sort(own), " ")).alias("text")))
+    out = met.where("id = first").select("k", "id", "first").unionByName(others.where("text IS NULL").select("k", "id", "first"))
+    strays = others.where("text IS NOT NULL").select("id", "k", "text")
     if not strays.isEmpty():
         heads = strays.groupBy("k", "text").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
         out = out.unionByName(spread_join(strays, heads, ["k", "text"], "n", "id", least=least_hot).select("k", "id", "first"))

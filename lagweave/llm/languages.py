@@ -21,8 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-WINDOW, STRIDE, BATCH = 96, 72, 256
 WIDTHS, FILTERS, DEPTH = (2, 3, 4, 5), 32, 12
+#: Windows overlap by what the widest filter spans, so that no run of bytes is lost at their ends.
+WINDOW, BATCH = 96, 256
+STRIDE, PADDING = WINDOW - max(WIDTHS) + 1, 256
 #: A sentence ends at a mark followed by blanks or the end; the ideographic ones need no blank.
 ENDS = re.compile(r"[.!?…]+[\"'”’»)\]]*(?=\s|$)|[。！？]+[」』）]*")
 WORD = re.compile(r"[^\W\d_]")
@@ -30,19 +32,24 @@ WORD = re.compile(r"[^\W\d_]")
 MARKUP = re.compile(r"<[^<>\s][^<>]{0,80}>|&#?\w{1,10};|\\[a-zA-Z](?![a-z])|\b(?:https?://|www\.)\S+|\S+@\S+\.\S+|%[0-9A-Fa-f]{2}|\b0x[0-9A-Fa-f]+\b|\b[Uu]\+[0-9A-Fa-f]{4,6}\b")
 ASIDE = re.compile(r"\([^()]{1,80}\)|（[^（）]{1,80}）|\[[^\[\]]{1,80}\]|«[^«»]{1,80}»")
 
+#: One of these stands in any markup, one of those at the start of any aside.
+HINTS, OPENS = ("<", "&", "\\", "@", "%", "://", "www.", "0x", "U+", "u+"), "([（«"
+
 
 def fold(text: str) -> str:
     """What the network reads: compatibility forms composed, lower case, runs of blanks as one."""
-    return " ".join(unicodedata.normalize("NFKC", text).lower().split())
+    return " ".join((text if text.isascii() else unicodedata.normalize("NFKC", text)).lower().split())
 
 
 def blanked(text: str) -> str:
     """The text with markup as blanks, character for character."""
-    return MARKUP.sub(lambda m: " " * len(m[0]), text)
+    return MARKUP.sub(lambda m: " " * len(m[0]), text) if any(h in text for h in HINTS) else text
 
 
 def core(sentence: str) -> str:
     """The sentence without asides, unless they are most of it: a few foreign words don't make it foreign."""
+    if not any(c in sentence for c in OPENS):
+        return sentence
     rest = ASIDE.sub(" ", sentence)
     return rest if len(WORD.findall(rest)) * 2 >= len(WORD.findall(sentence)) else sentence
 
@@ -63,8 +70,8 @@ class ByteNet:
     def __init__(self, labels: list[str], seed: int = 7):
         r = np.random.default_rng(seed)
         self.labels = labels
-        self.embed = r.normal(0, 0.3, (257, DEPTH)).astype(np.float32)  # 256: padding
-        self.embed[256] = 0
+        self.embed = r.normal(0, 0.3, (PADDING + 1, DEPTH)).astype(np.float32)
+        self.embed[PADDING] = 0
         self.filters = [r.normal(0, (2 / (w * DEPTH)) ** 0.5, (w * DEPTH, FILTERS)).astype(np.float32) for w in WIDTHS]
         self.bias = [np.zeros(FILTERS, np.float32) for _ in WIDTHS]
         self.out = r.normal(0, 0.1, (FILTERS * len(WIDTHS), len(labels))).astype(np.float32)
@@ -73,27 +80,30 @@ class ByteNet:
     def parameters(self) -> list[np.ndarray]:
         return [self.embed, *self.filters, *self.bias, self.out, self.shift]
 
-    def _pool(self, codes: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        e = self.embed[codes]
-        pooled, at = [], []
-        for w, f, b in zip(WIDTHS, self.filters, self.bias):
-            n = codes.shape[1] - w + 1
-            spans = np.lib.stride_tricks.as_strided(e, (len(e), n, w * DEPTH), e.strides)
-            z = (spans.reshape(-1, w * DEPTH) @ f).reshape(len(e), n, FILTERS)
-            best = z.argmax(1)
-            pooled.append(np.take_along_axis(z, best[:, None], 1)[:, 0] + b)
-            at.append(best)
-        return np.concatenate(pooled, 1), at
+    def _responses(self, codes: np.ndarray) -> np.ndarray:
+        """Of every filter at every place, windows x places x filters: all widths as one product, narrow filters ending in zeros."""
+        wide = max(WIDTHS)
+        f = np.zeros((wide * DEPTH, FILTERS * len(WIDTHS)), self.embed.dtype)
+        for i, (w, own) in enumerate(zip(WIDTHS, self.filters)):
+            f[: w * DEPTH, i * FILTERS : (i + 1) * FILTERS] = own
+        e = self.embed[np.pad(codes, ((0, 0), (0, wide - 1)), constant_values=PADDING)]
+        spans = np.lib.stride_tricks.as_strided(e, (*codes.shape, wide * DEPTH), e.strides)
+        return (spans.reshape(-1, wide * DEPTH) @ f).reshape(*codes.shape, -1)
+
+    def _top(self, pooled: np.ndarray) -> np.ndarray:
+        return pooled + np.concatenate(self.bias)
 
     def log_probabilities(self, codes: np.ndarray) -> np.ndarray:
-        p, _ = self._pool(codes)
-        z = np.maximum(p, 0) @ self.out + self.shift
+        z = np.maximum(self._top(self._responses(codes).max(1)), 0) @ self.out + self.shift
         z -= z.max(1, keepdims=True)
         return z - np.log(np.exp(z).sum(1, keepdims=True))
 
     def gradients(self, codes: np.ndarray, target: np.ndarray) -> list[np.ndarray]:
         """Of the mean cross entropy, in the order of parameters()."""
-        p, at = self._pool(codes)
+        r = self._responses(codes)
+        at = r.argmax(1)
+        p = self._top(np.take_along_axis(r, at[:, None], 1)[:, 0])
+        codes = np.pad(codes, ((0, 0), (0, max(WIDTHS) - 1)), constant_values=PADDING)
         h = np.maximum(p, 0)
         z = h @ self.out + self.shift
         q = np.exp(z - z.max(1, keepdims=True))
@@ -103,7 +113,7 @@ class ByteNet:
         rows = np.arange(len(codes))[:, None, None]
         for i, (w, f) in enumerate(zip(WIDTHS, self.filters)):
             g = dh[:, i * FILTERS : (i + 1) * FILTERS]
-            c = codes[rows, at[i][:, :, None] + np.arange(w)]  # the bytes at each filter's maximum
+            c = codes[rows, at[:, i * FILTERS : (i + 1) * FILTERS, None] + np.arange(w)]  # the bytes at each filter's maximum
             dfilters.append(np.matmul(g.T[:, None], self.embed[c].reshape(len(codes), FILTERS, -1).transpose(1, 0, 2))[:, 0].T)
             dbias.append(g.sum(0))
             read.append(c.ravel())
@@ -113,18 +123,21 @@ class ByteNet:
         values, starts = np.unique(read[order], return_index=True)
         dembed = np.zeros_like(self.embed)
         dembed[values] = np.add.reduceat(push[order], starts)
-        dembed[256] = 0
+        dembed[PADDING] = 0
         return [dembed, *dfilters, *dbias, h.T @ d, d.sum(0)]
 
 
-def windows(raw: bytes) -> np.ndarray:
-    """Fixed-length windows over all bytes, the last one padded."""
-    starts = range(0, max(1, len(raw) - WINDOW + STRIDE), STRIDE) if len(raw) > WINDOW else [0]
-    out = np.full((len(starts), WINDOW), 256, np.int16)
-    for i, s in enumerate(starts):
-        part = np.frombuffer(raw[s : s + WINDOW], np.uint8)
-        out[i, : len(part)] = part
-    return out
+def windows(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Fixed-length windows over all bytes, the last of each text padded, and how many each text has."""
+    sizes = np.array([len(r) for r in raws])
+    n = np.maximum(1, -(-(sizes - WINDOW) // STRIDE) + 1)
+    first = np.cumsum(n) - n
+    ends = np.cumsum(sizes)
+    start = np.repeat(ends - sizes, n) + (np.arange(n.sum()) - np.repeat(first, n)) * STRIDE
+    at = start[:, None] + np.arange(WINDOW)
+    buffer = np.frombuffer(b"".join(raws) + b" ", np.uint8)
+    inside = at < np.repeat(ends, n)[:, None]
+    return np.where(inside, buffer[np.where(inside, at, 0)], PADDING).astype(np.int16), n
 
 
 def train(labelled: list[tuple[str, str]], steps: int = 500, batch: int = 128, seed: int = 7, net: ByteNet | None = None) -> ByteNet:
@@ -154,7 +167,7 @@ def train(labelled: list[tuple[str, str]], steps: int = 500, batch: int = 128, s
         elif kind < 0.45:
             start = int(r.integers(0, max(1, len(raw) - 24)))
             raw = raw[start : start + int(r.integers(16, WINDOW + 1))]
-        out = np.full(WINDOW, 256, np.int16)
+        out = np.full(WINDOW, PADDING, np.int16)
         raw = np.frombuffer(raw[:WINDOW], np.uint8)
         out[: len(raw)] = raw
         return out
@@ -183,36 +196,41 @@ def fit(clean: list[tuple[str, str]], texts: list[tuple[str, str]], steps: tuple
     return train(clean + agreed, steps[1], net=net)
 
 
-def judge(net: ByteNet, texts: list[str | None]) -> list[list[tuple[int, int, int, np.ndarray]]]:
-    """Per text its sentences: start, end, letters, mean log-probabilities. Windows of all texts share batches."""
-    spans, owner, parts, size = [[] for _ in texts], [], [], 0
-    sums: dict[tuple[int, int], np.ndarray] = {}
+def log_probabilities(net: ByteNet, raws: list[bytes]) -> np.ndarray:
+    """Mean over the windows of each text. Equal texts are judged once; windows go through the network by their filling, so that a batch leaves out the places that are padding in all of it but one."""
+    distinct = {r: i for i, r in enumerate(dict.fromkeys(raws))}
+    codes, n = windows(list(distinct))
+    filled = (codes != PADDING).sum(1)
+    order = np.argsort(filled, kind="stable")
+    logs = np.empty((len(codes), len(net.labels)))
+    for i in range(0, len(order), BATCH):
+        own = order[i : i + BATCH]
+        logs[own] = net.log_probabilities(codes[own, : min(WINDOW, filled[own[-1]] + 1)])
+    means = np.add.reduceat(logs, np.cumsum(n) - n) / n[:, None]
+    return means[[distinct[r] for r in raws]]
+
+
+def judge(net: ByteNet, texts: list[str | None], at_once: int = 4_096) -> list[list[tuple[int, int, int, np.ndarray]]]:
+    """Per text its sentences: start, end, letters, mean log-probabilities. Some `at_once` sentences of several texts share batches."""
+    out, spans, raws = [[] for _ in texts], [], []
 
     def flush() -> None:
-        nonlocal size
-        if parts:
-            logs = np.concatenate([net.log_probabilities(c[i : i + BATCH]) for c in [np.concatenate(parts)] for i in range(0, len(c), BATCH)])
-            for key, row in zip(owner, logs):
-                sums[key] = sums[key] + row if key in sums else row
-            owner.clear()
-            parts.clear()
-            size = 0
-
-    counts: dict[tuple[int, int], int] = {}
+        if raws:
+            for (t, *span), logs in zip(spans, log_probabilities(net, raws)):
+                out[t].append((*span, logs))
+            spans.clear()
+            raws.clear()
+
     for t, text in enumerate(texts):
         text = blanked(text or "")
-        for s, (a, b) in enumerate(sentences(text)):
+        for a, b in sentences(text):
             piece = core(text[a:b])
-            w = windows(fold(piece).encode())
-            spans[t].append((a, b, sum(c.isalpha() for c in piece)))
-            counts[t, s] = len(w)
-            parts.append(w)
-            owner.extend([(t, s)] * len(w))
-            size += len(w)
-            if size >= 4_096:
+            spans.append((t, a, b, sum(map(str.isalpha, piece))))
+            raws.append(fold(piece).encode())
+            if len(raws) >= at_once:
                 flush()
     flush()
-    return [[(*span, sums[t, s] / counts[t, s]) for s, span in enumerate(own)] for t, own in enumerate(spans)]
+    return out
 
 
 SEGMENTS = "array<struct<start:int,end:int,sentences:int,lang:string,confidence:double>>"
@@ -231,14 +249,15 @@ def detect_languages(df: DataFrame, net: ByteNet, row_id: str = "doc_id", text:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
+            for at in range(0, whole.num_rows, 1_024):
+                batch = whole.slice(at, 1_024)
                 langs, sure, segs = [], [], []
                 for own in judge(net, batch.column(text).to_pylist()):
                     weight, parts = np.zeros(len(net.labels)), []
-                    for a, b, letters, logs in own:
-                        best = int(logs.argmax())
-                        p = np.exp(logs - np.logaddexp.reduce(logs))
+                    logs = np.array([x[3] for x in own]).reshape(len(own), len(net.labels))
+                    shares = np.exp(logs - logs.max(1, initial=-np.inf, keepdims=True))
+                    shares /= shares.sum(1, keepdims=True)
+                    for (a, b, letters, _), p, best in zip(own, shares, shares.argmax(1).tolist() if own else []):
                         weight += p * letters
                         if parts and parts[-1][3] == best:
                             parts[-1][1], parts[-1][2], parts[-1][4] = b, parts[-1][2] + 1, parts[-1][4] + float(p[best])

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lagweave.session import stored
+
 
 class OpenBins:
     """The open bins of one run."""
@@ -109,7 +111,7 @@ def pack_items(items: DataFrame, open_bins: int = 64, per_bucket: int = 50_000)
         "pack_id", F.col("capacity").cast("long").alias("capacity"), F.pmod(F.xxhash64("item_id", "size"), F.lit(buckets)).alias("bucket"),
         F.least(F.col("capacity"), F.col("size") - F.col("piece") * F.col("capacity")).cast("long").alias("room"), F.col("item_id").cast("long").alias("a"), F.col("piece").alias("b"),
     )
-    first = _packed(pieces, ["a", "b", "room"], open_bins)
+    first = stored(_packed(pieces, ["a", "b", "room"], open_bins))  # read twice: for the bins left open, and for all pieces
     again = -(-buckets * open_bins // per_bucket) or 1
     rest = first.where("room IS NULL").select("pack_id", "capacity", F.pmod(F.col("bucket"), F.lit(again)).alias("bucket"), F.col("a").alias("room"), F.col("bucket").alias("a"), F.col("bin").alias("b"))
     merged = _packed(rest, [F.col("room").desc(), "a", "b"], open_bins).where("room IS NOT NULL")

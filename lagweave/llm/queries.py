@@ -15,7 +15,7 @@ from lagweave.llm.languages import ByteNet, detect_languages, fit, label_languag
 from lagweave.llm.packing import pack_items
 from lagweave.llm.percentiles import day_summary, decode, exact_percentiles, merged_percentiles
 from lagweave.llm.sql import ORACLE  # noqa: F401
-from lagweave.llm.tokens import FOLDER, count_tokens, decode_ids, encode_texts
+from lagweave.llm.tokens import FOLDER, count_tokens, decode_ids, encode_texts, encoder
 from lagweave.llm.top_items import top_items
 from lagweave.session import stored, table
 
@@ -77,25 +77,18 @@ def p7_roundtrip(spark: SparkSession, sf_dir: str, folder: str = FOLDER) -> Data
     return back.select("doc_id", F.md5(F.encode("text", "utf-8")).alias("text_md5"), F.octet_length("text").cast("long").alias("n_bytes"))
 
 
-#: A table of containers' capacities is a setting; its size is checked.
-MOST_PACKS = 1_000
-
-
 def p8_containers(spark: SparkSession, sf_dir: str, folder: str = FOLDER) -> DataFrame:
-    """Every text's containers, for each row of pack_sizes."""
-    packs = table(spark, sf_dir, "pack_sizes").where("tokenizer IS NOT NULL").select("pack_id", "tokenizer", "capacity_tokens").limit(MOST_PACKS + 1).collect()
-    if len(packs) > MOST_PACKS:
-        raise ValueError(f"more than {MOST_PACKS} packs")
-    sizes = stored(count_tokens(table(spark, sf_dir, "documents"), sorted({p.tokenizer for p in packs}), folder=folder))
-    small = spark.createDataFrame(packs, "pack_id int, tokenizer string, capacity_tokens int")
-    items = sizes.join(F.broadcast(small), "tokenizer").select("pack_id", F.col("doc_id").alias("item_id"), "size", F.col("capacity_tokens").alias("capacity"))
-    return pack_items(items)
+    """Every text's containers, for each row of pack_sizes. Each tokenizer named is a file of the folder, so there are no more names than files."""
+    packs = table(spark, sf_dir, "pack_sizes").where("tokenizer IS NOT NULL").select("pack_id", "tokenizer", F.col("capacity_tokens").alias("capacity"))
+    names = [r[0] for r in packs.select("tokenizer").distinct().orderBy("tokenizer").toLocalIterator() if encoder(folder, r[0])]
+    sizes = stored(count_tokens(table(spark, sf_dir, "documents"), names, folder=folder))
+    return pack_items(stored(sizes.join(packs, "tokenizer").select("pack_id", F.col("doc_id").alias("item_id"), "size", "capacity"), done=[sizes]))
 
 
 def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per pack: containers, tokens, and the share of their room that is used."""
     got = p8_containers(spark, sf_dir).where("container IS NOT NULL").groupBy("pack_id").agg(F.countDistinct("container").alias("containers"), F.sum("room").alias("tokens"))
-    return got.join(F.broadcast(table(spark, sf_dir, "pack_sizes").select("pack_id", "capacity_tokens")), "pack_id").withColumn("used", F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")))
+    return got.join(table(spark, sf_dir, "pack_sizes").select("pack_id", "capacity_tokens"), "pack_id").withColumn("used", F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")))
 
 
 #: Bounds of what the network is fitted on: sentences of the reference, and loosely labelled texts of at most so many characters.

@@ -91,14 +91,14 @@ def test_top_items_against_brute_force(spark, batch):
 # Problem 6
 
 
-@pytest.mark.parametrize("splits", [2, 16])
-def test_percentiles_against_brute_force(spark, splits):
+@pytest.mark.parametrize("splits,few", [(2, 0), (64, 50_000)])
+def test_percentiles_against_brute_force(spark, splits, few):
     r = np.random.default_rng(5)
-    data = {"n": r.normal(0, 3, 700), "two": np.round(r.normal(0, 1, 400), 2), "same": np.repeat(3.5, 50), "one": np.array([-7.0]), "wide": np.array([-1.7e308, -1e-300, 0.0, 5e-324, 1e300, 1.7e308]), "close": 1 + np.arange(300) * 2.0**-50}
+    data = {"n": r.normal(0, 3, 700), "two": np.round(r.normal(0, 1, 400), 2), "same": np.repeat(3.5, 50), "one": np.array([-7.0]), "wide": np.array([-1.7e308, -1e-300, 0.0, 5e-324, 1e300, 1.7e308]), "close": 1 + np.arange(40) * 2.0**-50}
     rows = [(k, float(v)) for k, vs in data.items() for v in vs] + [(k, v) for k in ("n", None) for v in (None, math.nan, math.inf)]
     df = spark.createDataFrame(rows, "s string, x double").select(encode_key(F.col("s")).alias("k"), "x")
     ps = [0.0, 0.05, 0.5, 0.9, 1.0]
-    got = {(q.k[1:], q.p): q for q in exact_percentiles(df, ps, splits).collect()}
+    got = {(q.k[1:], q.p): q for q in exact_percentiles(df, ps, splits, few).collect()}
     assert len(got) == len(data) * len(ps)
     for (k, p), q in got.items():
         v = np.sort(data[k])
@@ -281,6 +281,29 @@ def test_segments_cover_mixed_texts(spark, net):
     assert languages.detect_languages(df.limit(0), net).count() == 0
 
 
+def test_windows_cover_every_byte():
+    raws = [b"", b"ab", b"x" * 96, bytes(range(97)), bytes(i % 251 for i in range(1_000))]
+    codes, n = languages.windows(raws)
+    assert n.tolist() == [1, 1, 1, 2, 11] and len(codes) == 16
+    at = 0
+    for raw, k in zip(raws, n):
+        seen = {}
+        for j in range(k):
+            for i, c in enumerate(codes[at + j]):
+                if c != languages.PADDING:
+                    seen[j * languages.STRIDE + i] = c
+        assert [seen[i] for i in range(len(raw))] == list(raw) and len(seen) == len(raw)
+        at += k
+
+
+def test_batches_leave_probabilities_as_they_are(net):
+    raws = [b"", b"the market", "рынок".encode(), b"a" * 300, b"the market"]
+    together = languages.log_probabilities(net, raws)
+    for raw, logs in zip(raws, together):
+        codes, _ = languages.windows([raw])
+        assert logs == pytest.approx(net.log_probabilities(codes).mean(0), abs=1e-4)
+
+
 @pytest.mark.parametrize("label,want", [("en", "en"), (" EN_us ", "en"), ("pt-BR", "pt"), ("ru-Cyrl", "ru"), ("", None), ("  ", None), ("und", None), ("UND", None), (None, None), ("\tde\n", "de")])
 def test_labels(spark, label, want):
     assert spark.createDataFrame([(label,)], "l string").select(languages.label_language(F.col("l"))).first()[0] == want
