@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+from itertools import product
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -12,9 +15,10 @@ from lagweave.operators.profiles import correlation
 from lagweave.operators.quantiles import quantiles
 from lagweave.operators.readings import finite
 from lagweave.operators.rules import attribute_summary, condition_key, parse_rules
-from lagweave.plans.catalogue_rules import _M1, PARAMS, TARGET, _level_sql, _matches, _mined, _rounded
+from lagweave.plans.catalogue_rules import _M1, _SET, PARAMS, _level_sql, _matches, _mined, _normal_sql, _rounded
 from lagweave.session import table
 
+
 def _c(name):
     return F.col(name)
 
@@ -291,18 +295,21 @@ def sweep_summary(spark, d):
 
 
 def sweep_pivot(spark, d):
+    """Mean rules by both parameters of a pair, one row per cell: delay by support, concentration by deviation. Long, so that any value has its place."""
     t = table(spark, d, "experiment_runs")
-    got = t.groupBy("max_time_delay").pivot("minsup", [0.001, 0.002, 0.003]).agg(F.avg("rules_discovered"))
-    return _rounded(got.toDF("max_time_delay", "s1", "s2", "s3"), 6)
+    cells = [("max_time_delay", "minsup"), ("min_concentration", "max_deviation")]
+    got = [t.groupBy(F.lit(f"{a} x {b}").alias("pivot"), F.col(a).cast("double").alias("row"), F.col(b).alias("col")).agg(F.avg("rules_discovered").alias("mean")) for a, b in cells]
+    return _rounded(got[0].unionByName(got[1]), 6)
 
 
 def sweep_best(spark, d):
-    """Ten runs with most and ten with fewest rules, and the best run of each parameter setting's instrument."""
+    """Ten runs with most and ten with fewest rules, and the run with most rules of each instrument (ties: the first by setting)."""
     t = table(spark, d, "experiment_runs").where("rules_discovered IS NOT NULL").dropDuplicates()
     keys = ["experiment", "max_time_delay", "minsup", "min_concentration", "max_deviation"]
     top = t.orderBy(F.desc("rules_discovered"), *keys).limit(10).select(F.lit("most").alias("side"), *keys, "rules_discovered")
     low = t.orderBy("rules_discovered", *keys).limit(10).select(F.lit("fewest").alias("side"), *keys, "rules_discovered")
-    return top.unionByName(low)
+    best = t.withColumn("rn", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("rules_discovered"), *keys))).where("rn = 1").select(F.concat(F.lit("best of "), "symbol").alias("side"), *keys, "rules_discovered")
+    return top.unionByName(low).unionByName(best)
 
 
 def experiment_totals(spark, d):
@@ -311,15 +318,23 @@ def experiment_totals(spark, d):
     return got
 
 
+SWEEP = {"max_delay": (3, 4, 5), "min_support": (0.02, 0.03, 0.05), "min_concentration": (0.30, 0.40, 0.45), "max_deviation": (1_000.0, 5_000.0, 20_000.0)}
+
+
 def sweep_from_matches(spark, d):
-    """81 parameter settings per target over one table of candidate rules, instead of 81 runs: rules that pass each."""
-    rules = _mined(spark, d, 2)
-    grid = [(a, b, c, e) for a in (3, 4, 5) for b in (0.02, 0.03, 0.05) for c in (0.30, 0.40, 0.45) for e in (1_000.0, 5_000.0, 20_000.0)]
-    cells = F.explode(F.array(*(F.struct(F.lit(a).alias("max_delay"), F.lit(b).alias("min_support"), F.lit(c).alias("min_concentration"), F.lit(e).alias("max_deviation")) for a, b, c, e in grid)))
-    each = rules.select("*", cells.alias("g")).select("*", "g.*")
-    calm = deviation_ok(F.col("quadrant"), F.col("x1_min"), F.col("x1_max"), F.col("x2_min"), F.col("x2_max"), F.col("max_deviation"))
-    ok = (F.col("max_d") <= F.col("max_delay")) & (F.col("support_rate") >= F.col("min_support")) & (F.col("concentration") >= F.col("min_concentration")) & calm
-    return each.groupBy("inst", "max_delay", "min_support", "min_concentration", "max_deviation").agg(F.count_if(ok).alias("rules"))
+    """81 parameter settings per target: rules that pass each. One mining for each greatest delay, which sets range and denominator, at the least
+    support of all settings; the other settings filter its rules, instead of 81 runs.
+    """
+    cells = F.explode(F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(list(SWEEP)[1:], g))) for g in product(*list(SWEEP.values())[1:]))))
+    out = None
+    for delay in SWEEP["max_delay"]:
+        rules = _mined(spark, d, 2, replace(PARAMS, max_delay=delay, min_support=min(SWEEP["min_support"])))
+        each = rules.select("*", cells.alias("g")).select("*", "g.*")
+        calm = deviation_ok(F.col("quadrant"), F.col("x1_min"), F.col("x1_max"), F.col("x2_min"), F.col("x2_max"), F.col("max_deviation"))
+        ok = (F.col("support_rate") >= F.col("min_support")) & (F.col("concentration") >= F.col("min_concentration")) & calm
+        got = each.groupBy("inst", F.lit(delay).alias("max_delay"), *list(SWEEP)[1:]).agg(F.count_if(ok).alias("rules"))
+        out = got if out is None else out.unionByName(got)
+    return out
 
 
 QUERIES = {
@@ -362,7 +377,7 @@ ORACLE = {
   round(support_rate * ({_EST}) / greatest({_DEV}, 0.1), 8) AS score FROM pool""",
     "score_views": _P + f""", s AS (SELECT rule_id, support_rate, {_DEV} AS deviation, support_rate * ({_EST}) / greatest({_DEV}, 0.1) AS score FROM pool)
 (SELECT 'support' AS view, rule_id, round(score, 8) AS score FROM s WHERE score IS NOT NULL AND support_rate >= 0.005 ORDER BY s.score DESC, rule_id LIMIT 100)
-UNION ALL (SELECT 'deviation', rule_id, round(score, 8) FROM s WHERE score IS NOT NULL AND deviation <= 1.2 ORDER BY s.score DESC, rule_id LIMIT 100)""",
+UNION ALL (SELECT 'deviation', rule_id, round(score, 8) FROM s WHERE score IS NOT NULL AND deviation <= 5.0 ORDER BY s.score DESC, rule_id LIMIT 100)""",
     "score_composite": _P + """SELECT rule_id, round(abs(t_statistic) * ln(1 + support_count), 6) AS composite, round(abs(x_mean) * support_count * CASE WHEN t_statistic IS NULL THEN 1 ELSE least(abs(t_statistic) / 2, 1) END, 6) AS expected_value, round(abs(x_mean) / nullif(x_sigma, 0), 6) AS quality,
   round(support_rate * support_count * (1 + t_statistic * t_statistic / 10), 6) AS chi_score FROM pool""",
     "score_isotropic": _P + """, v AS (SELECT *, (x_sigma + x2_sigma) / 2 AS m FROM pool) SELECT rule_id, round(CASE WHEN m > 1e-10 THEN support_count / (m * (1 + ((x_sigma - m) * (x_sigma - m) + (x2_sigma - m) * (x2_sigma - m)) / 2)) ELSE 0 END, 6) AS isotropic,
@@ -371,7 +386,7 @@ UNION ALL (SELECT 'deviation', rule_id, round(score, 8) FROM s WHERE score IS NO
     "global_top_rules": _SCORED
     + f", c AS (SELECT *, len({_PLAIN})::INT AS plain_conditions FROM scored) "
     + " UNION ALL ".join(f"(SELECT '{k}' AS kind, row_number() OVER (ORDER BY {k} DESC, rule_id)::INT AS place, rule_id, pool_id, plain_conditions, round({k}, 8) AS score FROM c WHERE {k} IS NOT NULL ORDER BY {k} DESC, rule_id LIMIT 10)" for k in ("score_2d", "score_t1", "score_t2")),
-    "conditions_summary": f"""WITH t AS (SELECT rule_id, list_transform([{", ".join(f"attr{i}" for i in range(1, 9))}], lambda a: CASE WHEN regexp_matches(regexp_replace(a, '^\\s+|\\s+$', '', 'g'), '(?s)^(.+)\\(t-(\\d+)\\)$') THEN regexp_replace(a, '^\\s+|\\s+$', '', 'g') END) AS l FROM zrp01a),
+    "conditions_summary": f"""WITH t AS (SELECT rule_id, list_transform({_normal_sql()}, lambda a: CASE WHEN a NOT IN ('', '0') THEN CASE WHEN regexp_matches(a, '^.+t[0-9]+$') THEN regexp_extract(a, '^(.+)t([0-9]+)$', 1) || '(t-' || regexp_extract(a, '^(.+)t([0-9]+)$', 2)::INT || ')' ELSE a END END) AS l FROM zrp01a),
 g AS (SELECT rule_id, l, coalesce(list_position(list_transform(l, lambda a: a IS NULL), true), 9) - 1 AS k FROM t), h AS (SELECT rule_id, k, CASE WHEN k > 0 THEN l[1:least(k, 3)] ELSE [] END AS s FROM g)
 SELECT rule_id, k::INT AS k, array_to_string(s, ', ') || CASE WHEN k > 3 THEN ' ... (+' || (k - 3) || ')' ELSE '' END AS summary FROM h""",
     "instrument_summary": _P + """, g AS (SELECT symbol, count(*) AS n_rules, avg(support_count) AS mean_support, max(support_count) AS max_support, min(support_count) AS min_support, avg(abs(x_mean)) AS mean_abs_m1, avg(abs(x2_mean)) AS mean_abs_m2, max(abs(x_mean)) AS max_abs_m1, max(abs(x2_mean)) AS max_abs_m2,
@@ -400,17 +415,21 @@ SELECT symbol, round(avg(abs(x_mean) / nullif(x_sigma, 0)), 6) AS mean_snr, roun
     "insight_counts": _P + _QUALITY + """, q AS (SELECT *, tightness + direction + reliability AS q FROM parts)
 SELECT symbol, count(*) FILTER (q >= 80) AS grade_a, count(*) FILTER (q >= 65 AND q < 80) AS grade_b, count(*) FILTER ((x_mean > 0) = (x2_mean > 0)) AS same_sign, count(*) FILTER ((x_mean > 0) <> (x2_mean > 0)) AS opposite_sign, count(*) FILTER ((abs(x_mean) + abs(x2_mean)) / 2 < 0.25) AS near_threshold, count(*) FILTER ((x_sigma + x2_sigma) / 2 > 0.40) AS high_variance, round(avg(q), 6) AS mean_quality FROM q GROUP BY symbol""",
     "dedupe_first_three": _SCORED + "SELECT rule_id, score_2d FROM scored WHERE score_2d IS NOT NULL QUALIFY row_number() OVER (PARTITION BY attr1, attr2, attr3 ORDER BY scored.score_2d DESC, rule_id) = 1",
-    "dedupe_across_trials": _P + f""", k AS (SELECT rule_id, symbol, mined_at, list_sort({_PLAIN}) AS key FROM pool)
+    "dedupe_across_trials": _P + f""", k AS (SELECT rule_id, symbol, mined_at, {_SET} AS key FROM pool)
 SELECT rule_id, symbol, count(*) OVER (PARTITION BY symbol, key) AS n FROM k QUALIFY row_number() OVER (PARTITION BY symbol, key ORDER BY mined_at NULLS FIRST, rule_id) = 1""",
     "directional_bias": _M1
     + """, s AS (SELECT inst, rule_id, avg(x1) AS mu, stddev_samp(x1) AS sd, count(*) FILTER (x1 > 0) / nullif(count(*) FILTER (x1 <> 0), 0) AS wr, sum(x1) FILTER (x1 > 0) / nullif(-sum(x1) FILTER (x1 < 0), 0) AS pf FROM m GROUP BY ALL)
 SELECT inst, rule_id, CASE WHEN sd > 0.5 AND mu > 0.1 AND wr >= 0.52 AND pf >= 1.1 THEN 'positive' WHEN sd > 0.5 AND mu < -0.1 AND wr <= 0.48 AND pf <= 0.9 THEN 'negative' ELSE 'neutral' END AS bias FROM s""",
     "rule_sort_views": _P + " UNION ALL ".join(f"(SELECT '{n}' AS sort_by, rule_id FROM pool WHERE {c} IS NOT NULL ORDER BY {c} DESC, rule_id LIMIT 20)" for n, c in _SORTS.items()),
     "sweep_summary": " UNION ALL ".join(f"SELECT '{p}' AS parameter, {p}::DOUBLE AS value, round(avg(rules_discovered), 6) AS mean, round(stddev_samp(rules_discovered), 6) AS sd, min(rules_discovered) AS least, max(rules_discovered) AS most, count(*) AS n FROM experiment_runs GROUP BY {p}" for p in PARAMETERS),
-    "sweep_pivot": "SELECT max_time_delay, " + ", ".join(f"round(avg(rules_discovered) FILTER (minsup = {v}), 6) AS s{i}" for i, v in enumerate((0.001, 0.002, 0.003), 1)) + " FROM experiment_runs GROUP BY max_time_delay",
-    "sweep_best": f"WITH t AS (SELECT DISTINCT * FROM experiment_runs WHERE rules_discovered IS NOT NULL) (SELECT 'most' AS side, {_KEYS}, rules_discovered FROM t ORDER BY rules_discovered DESC, {_KEYS} LIMIT 10) UNION ALL (SELECT 'fewest', {_KEYS}, rules_discovered FROM t ORDER BY rules_discovered, {_KEYS} LIMIT 10)",
+    "sweep_pivot": " UNION ALL ".join(f"SELECT '{a} x {b}' AS pivot, {a}::DOUBLE AS row, {b} AS col, round(avg(rules_discovered), 6) AS mean FROM experiment_runs GROUP BY ALL" for a, b in (("max_time_delay", "minsup"), ("min_concentration", "max_deviation"))),
+    "sweep_best": f"""WITH t AS (SELECT DISTINCT * FROM experiment_runs WHERE rules_discovered IS NOT NULL) (SELECT 'most' AS side, {_KEYS}, rules_discovered FROM t ORDER BY rules_discovered DESC, {_KEYS} LIMIT 10) UNION ALL (SELECT 'fewest', {_KEYS}, rules_discovered FROM t ORDER BY rules_discovered, {_KEYS} LIMIT 10)
+UNION ALL (SELECT 'best of ' || symbol, {_KEYS}, rules_discovered FROM t QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY rules_discovered DESC, {_KEYS}) = 1)""",
     "experiment_totals": "SELECT symbol, count(*) AS runs, sum(rules_discovered) AS rules, count(*) FILTER (exit_code <> 0) AS failed, sum(duration_sec) AS seconds, max(rules_discovered) AS best FROM experiment_runs GROUP BY symbol",
-    "sweep_from_matches": _level_sql(2, PARAMS, TARGET)
-    + f""", g AS (SELECT * FROM (VALUES (3), (4), (5)) a(max_delay), (VALUES (0.02::DOUBLE), (0.03), (0.05)) b(min_support), (VALUES (0.30::DOUBLE), (0.40), (0.45)) c(min_concentration), (VALUES (1000.0::DOUBLE), (5000.0), (20000.0)) e(max_deviation))
-SELECT max_delay, min_support, min_concentration, max_deviation, count(*) FILTER (greatest(d1, d2) <= max_delay AND support_rate >= min_support AND concentration >= min_concentration AND {_CALM}) AS rules FROM g, mined GROUP BY ALL""",
+    # Each greatest delay is mined on its own; the other settings are counted over all rules, without any cut by support.
+    "sweep_from_matches": " UNION ALL ".join(
+        f"SELECT * FROM ({_level_sql(2, replace(PARAMS, max_delay=delay, min_support=0.0))}" + f""", g AS (SELECT * FROM (VALUES (0.02::DOUBLE), (0.03), (0.05)) b(min_support), (VALUES (0.30::DOUBLE), (0.40), (0.45)) c(min_concentration), (VALUES (1000.0::DOUBLE), (5000.0), (20000.0)) e(max_deviation))
+SELECT inst, {delay} AS max_delay, min_support, min_concentration, max_deviation, count(*) FILTER (support_rate >= min_support AND concentration >= min_concentration AND {_CALM}) AS rules FROM g, mined GROUP BY ALL)"""
+        for delay in (3, 4, 5)
+    ),
 }

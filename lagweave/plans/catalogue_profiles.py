@@ -255,8 +255,9 @@ ORACLE = {
     + """, f AS (SELECT inst, i, 1 + coalesce(x, 0) / 100 AS f FROM rets), g AS (SELECT inst, i, count(*) FILTER (f = 0) OVER w AS z, count(*) FILTER (f < 0) OVER w AS neg, sum(CASE WHEN f <> 0 THEN ln(abs(f)) ELSE 0 END) OVER w AS s FROM f WINDOW w AS (PARTITION BY inst ORDER BY i))
 SELECT inst, i, CASE WHEN z = 0 AND exp(s) > 1e-9 THEN round(s, 6) END AS log_growth, CASE WHEN z > 0 THEN 0 WHEN neg % 2 = 1 THEN -1 ELSE 1 END::INT AS sign FROM g""",
     "autocorr": _M1
-    + """, f AS (SELECT s.inst, s.i, (m.t IS NOT NULL)::INT::DOUBLE AS v FROM series s LEFT JOIN (SELECT * FROM m WHERE rule_id = 1) m ON m.inst = s.inst AND m.t = s.i),
-k AS (SELECT unnest(range(1, 31))::INT AS lag) SELECT a.inst, k.lag, round(corr(a.v, b.v), 6) AS value FROM f a JOIN k ON true JOIN f b ON b.inst = a.inst AND b.i = a.i - k.lag GROUP BY ALL""",
+    + """, ids AS (SELECT unnest(range(1, 21))::INT AS rule_id), f AS (SELECT s.inst, ids.rule_id, s.i, (m.t IS NOT NULL)::INT::DOUBLE AS v FROM series s CROSS JOIN ids LEFT JOIN m ON m.inst = s.inst AND m.rule_id = ids.rule_id AND m.t = s.i),
+k AS (SELECT unnest(range(1, 31))::INT AS lag), p AS (SELECT a.inst, a.rule_id, k.lag, a.v AS a, b.v AS b FROM f a JOIN k ON true JOIN f b ON b.inst = a.inst AND b.rule_id = a.rule_id AND b.i = a.i - k.lag)
+SELECT inst, rule_id, lag, CASE WHEN stddev_pop(a) > 1e-9 AND stddev_pop(b) > 1e-9 THEN round(corr(a, b), 6) END AS value FROM p GROUP BY ALL""",
     "time_bins": _M1
     + """, e AS (SELECT *, min(t) OVER g AS lo, max(t) OVER g AS hi FROM m WINDOW g AS (PARTITION BY inst, rule_id))
 SELECT inst, rule_id, greatest(1, least(10, coalesce(ceil((t - lo) * 10 / nullif(hi - lo, 0)), 1)))::INT AS bin, count(*) AS n, round(avg(x1), 4) AS mean_x1 FROM e GROUP BY ALL""",

@@ -14,7 +14,6 @@ from lagweave.operators.rules import attribute_summary, conditions, parse_rules,
 from lagweave.params import MiningParams
 from lagweave.plans import mining
 
-TARGET = "1-URGENT"
 U, H, M, N, L = "1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"
 #: The fixed rules of the match queries: 1 to 4 conditions, delays 0 to 5, one attribute at two delays, one unsatisfiable, one unknown attribute, one empty.
 RULES = {
@@ -269,18 +268,26 @@ def _quad_sql(kind, source, by, pick=None, tail=""):
   FROM (SELECT {by}, {counts}, count(*) AS n{tail} FROM {source} WHERE x1 IS NOT NULL AND x2 IS NOT NULL GROUP BY {by}))"""
 
 
-def _level_sql(k, p=PARAMS, target=None):
-    """Rules of k conditions with the gate."""
+def _level_sql(k, p=PARAMS):
+    """Rules of k conditions with the gate. All combinations are matched and counted first; then those stay whose parts of k - 1 conditions have the support."""
     rng = f"t BETWEEN {p.max_delay} AND (SELECT max(i) + 1 FROM times) - {p.future_span} - 1"
     span = f"((SELECT max(i) + 1 FROM times) - {p.max_delay + p.future_span})"
     parts = f", one AS (SELECT attr, delay, t FROM (SELECT attr, d.delay, i + d.delay AS t FROM items, (SELECT unnest(range({p.max_delay + 1})) AS delay) d) WHERE {rng})"
     parts += ", l1 AS (SELECT attr AS a1, delay AS d1, t FROM one)"
     for j in range(2, k + 1):
-        keys = ", ".join(f"a{i}, d{i}" for i in range(1, j))
-        parts += f", f{j} AS (SELECT {keys} FROM l{j - 1} GROUP BY ALL HAVING count(*) >= {p.min_support} * {span}), l{j} AS (SELECT l.*, o.attr AS a{j}, o.delay AS d{j} FROM l{j - 1} l JOIN f{j} USING ({keys}) JOIN one o USING (t) WHERE o.attr > l.a{j - 1})"
+        parts += f", l{j} AS (SELECT l.*, o.attr AS a{j}, o.delay AS d{j} FROM l{j - 1} l JOIN one o USING (t) WHERE o.attr > l.a{j - 1})"
+    if k > 1:
+        keys = ", ".join(f"a{i}, d{i}" for i in range(1, k))
+        parts += f", f AS (SELECT {keys} FROM l{k - 1} GROUP BY ALL HAVING count(*) >= {p.min_support} * {span})"
+        subsets = [[i for i in range(1, k + 1) if i != out] for out in range(1, k + 1)]
+        tests = " AND ".join("(" + ", ".join(f"l.a{i}, l.d{i}" for i in own) + f") IN (SELECT ({keys}) FROM f)" if k > 2 else f"(l.a{own[0]}, l.d{own[0]}) IN (SELECT (a1, d1) FROM f)" for own in subsets)
+        rules = ", ".join(f"a{i}, d{i}" for i in range(1, k + 1))
+        parts += f", c AS (SELECT {rules} FROM (SELECT DISTINCT {rules} FROM l{k}) l WHERE {tests}), lk AS (SELECT l{k}.* FROM l{k} JOIN c USING ({rules}))"
+    else:
+        parts += ", lk AS (SELECT * FROM l1)"
     by = "inst, " + ", ".join(f"a{i}, d{i}" for i in range(1, k + 1))
     tail = ", " + ", ".join(f"{f}(x{h}) AS x{h}_{nm}" for h in (1, 2) for nm, f in (("mean", "avg"), ("sigma", "stddev_pop"), ("min", "min"), ("max", "max")))
-    source = f"(SELECT l.*, s.inst, s.x1, s.x2 FROM l{k} l JOIN series s ON s.i = l.t{f" WHERE s.inst = '{target}'" if target else ''})"
+    source = "(SELECT l.*, s.inst, s.x1, s.x2 FROM lk l JOIN series s ON s.i = l.t)"
     rule = " || ' & ' || ".join(f"a{i} || '(t-' || d{i} || ')'" for i in range(1, k + 1))
     D = p.max_deviation
     calm = f"CASE quadrant WHEN 'Q1' THEN x1_min >= -{D} AND x2_min >= -{D} WHEN 'Q2' THEN x1_max <= {D} AND x2_min >= -{D} WHEN 'Q3' THEN x1_max <= {D} AND x2_max <= {D} WHEN 'Q4' THEN x1_min >= -{D} AND x2_max <= {D} ELSE false END"
@@ -292,13 +299,33 @@ def _level_sql(k, p=PARAMS, target=None):
 
 _MINED_COLS = ", ".join(f"round({c}, 4) AS {c}" if c in ("concentration", "support_rate", "x1_mean", "x2_mean", "x1_min", "x2_max") else c for c in _RULE_COLS)
 _SLOT_LIST = ", ".join(f"attr{i}" for i in range(1, 9))
-_POOL = f"""WITH c AS (SELECT rule_id, regexp_replace(unnest([{_SLOT_LIST}]), '^\\s+|\\s+$', '', 'g') AS raw FROM zrp01a),
-p AS (SELECT rule_id, regexp_extract(raw, '(?s)^(.+)\\(t-(\\d+)\\)$', 1) AS attr, regexp_extract(raw, '(?s)^(.+)\\(t-(\\d+)\\)$', 2)::INT AS delay FROM c WHERE regexp_matches(raw, '(?s)^(.+)\\(t-(\\d+)\\)$'))
+
+
+def _normal_sql():
+    """The slots in normal form: ASCII letters and digits alone, in lower case; an empty slot is '' or 0."""
+    return f"list_transform([{_SLOT_LIST}], lambda a: lower(regexp_replace(coalesce(a, ''), '[^A-Za-z0-9]', '', 'g')))"
+
+
+_SET = f"list_sort(list_distinct(list_filter({_normal_sql()}, lambda a: a NOT IN ('', '0'))))"
+_POOL = f"""WITH c AS (SELECT rule_id, unnest({_normal_sql()}) AS raw FROM zrp01a),
+p AS (SELECT rule_id, CASE WHEN regexp_matches(raw, '^.+t[0-9]+$') THEN regexp_extract(raw, '^(.+)t([0-9]+)$', 1) ELSE raw END AS attr, TRY_CAST(nullif(regexp_extract(raw, '^(.+)t([0-9]+)$', 2), '') AS INT) AS delay FROM c WHERE raw NOT IN ('', '0'))
 """
 
+
+
+def _progressive_sql():
+    """One step per position: the rows left are numbered, and a lag counts in these numbers."""
+    out, done = ", s0 AS (SELECT inst, rule_id, k, i, i AS j FROM series, rules)", []
+    for pos in range(max(len(c) for c in RULES.values())):
+        out += f""", k{pos} AS (SELECT s.inst, s.rule_id, s.k, s.i FROM s{pos} s JOIN conds c ON c.rule_id = s.rule_id AND c.pos = {pos} JOIN s{pos} b ON b.inst = s.inst AND b.rule_id = s.rule_id AND b.j = s.j - c.delay
+  JOIN items x ON x.i = b.i AND x.attr = c.attr), s{pos + 1} AS (SELECT *, row_number() OVER (PARTITION BY inst, rule_id ORDER BY i) AS j FROM k{pos} WHERE k > {pos + 1})"""
+        done.append(f"SELECT inst, rule_id, i AS t FROM k{pos} WHERE k = {pos + 1}")
+    return out + f", m AS ({' UNION ALL '.join(done)})"
+
+
 ORACLE = {
     "rule_parse": f"WITH {_CONDS_SQL} SELECT rule_id, pos, attr, delay, k, max_d FROM conds JOIN rules USING (rule_id)",
-    "pool_conditions": _POOL + "SELECT rule_id, attr, delay, count(*) OVER (PARTITION BY rule_id) AS k, max(delay) OVER (PARTITION BY rule_id) AS max_d FROM p",
+    "pool_conditions": _POOL + "SELECT rule_id, attr, delay, count(*) OVER (PARTITION BY rule_id) AS k, coalesce(max(delay) OVER (PARTITION BY rule_id), 0) AS max_d FROM p",
     "rule_text": f"WITH {_CONDS_SQL}, ids AS (SELECT unnest(range(1, 21))::INT AS rule_id), w AS (SELECT rule_id, list(attr || '(t-' || delay || ')' ORDER BY pos) AS c FROM conds GROUP BY rule_id) SELECT rule_id, coalesce(k, 0) AS k, coalesce(max_d, 0) AS max_d, " + ", ".join(f"coalesce(c[{i}], '0') AS attr{i}" for i in range(1, 9)) + " FROM ids LEFT JOIN rules USING (rule_id) LEFT JOIN w USING (rule_id)",
     "attr_summary": f"""WITH {_CONDS_SQL}, w AS (SELECT rule_id, list(attr || '(t-' || delay || ')' ORDER BY pos) AS c FROM conds GROUP BY rule_id)
 SELECT rule_id, array_to_string(c[1:3], ', ') || CASE WHEN len(c) > 3 THEN ' ... (+' || (len(c) - 3) || ')' ELSE '' END AS summary FROM w UNION ALL SELECT 20, ''""",
@@ -308,18 +335,18 @@ SELECT rule_id, array_to_string(c[1:3], ', ') || CASE WHEN len(c) > 3 THEN ' ...
     "match_m3": _m(span=1) + "SELECT inst, rule_id, t FROM m",
     "match_m4": _m(span=0) + "SELECT inst, rule_id, t FROM m",
     "match_m5": PANEL_SQL
-    + f""", {_CONDS_SQL}, own AS (SELECT * FROM series WHERE inst = '{TARGET}'),
-side AS (SELECT count(*) FILTER (x0 >= 1) > count(*) FILTER (x0 <= -1) AS up FROM own),
-kept AS (SELECT o.*, row_number() OVER (ORDER BY i) - 1 AS j FROM own o, side WHERE CASE WHEN up THEN x0 >= 1 ELSE x0 <= -1 END),
-moved AS (SELECT j, attr FROM kept JOIN items USING (i)),
-hits AS (SELECT rule_id, j + delay AS t, max_d FROM moved JOIN conds USING (attr) JOIN rules USING (rule_id) GROUP BY rule_id, j + delay, max_d, k HAVING count(*) = k)
-SELECT rule_id, t, round(x0, 6) AS x0 FROM hits JOIN kept ON j = t WHERE t >= max_d""",
+    + f""", {_CONDS_SQL}, side AS (SELECT inst, count(*) FILTER (x0 >= 1) > count(*) FILTER (x0 <= -1) AS up FROM series GROUP BY inst),
+kept AS (SELECT o.*, row_number() OVER (PARTITION BY inst ORDER BY i) - 1 AS j FROM series o JOIN side USING (inst) WHERE CASE WHEN up THEN x0 >= 1 ELSE x0 <= -1 END),
+moved AS (SELECT inst, j, attr FROM kept JOIN items USING (i)),
+hits AS (SELECT inst, rule_id, j + delay AS t, max_d FROM moved JOIN conds USING (attr) JOIN rules USING (rule_id) GROUP BY inst, rule_id, j + delay, max_d, k HAVING count(*) = k)
+SELECT hits.inst, rule_id, t, round(x0, 6) AS x0 FROM hits JOIN kept ON j = t AND kept.inst = hits.inst WHERE t >= max_d""",
+    "match_m6": PANEL_SQL + f", {_CONDS_SQL}" + _progressive_sql() + " SELECT inst, rule_id, t FROM m",
     "match_m7": PANEL_SQL
     + f""", {_CONDS_SQL.replace('conds(', 'conds0(').replace('FROM conds ', 'FROM conds ')}""".replace("rules AS", "conds AS (SELECT * FROM conds0 SEMI JOIN items USING (attr)), rules AS")
     + """, hits AS (SELECT rule_id, i + delay AS t, max_d FROM items JOIN conds USING (attr) JOIN rules USING (rule_id) GROUP BY rule_id, i + delay, max_d, k HAVING count(*) = k)
 SELECT s.inst, rule_id, t FROM hits JOIN series s ON s.i = t WHERE t >= max_d AND t < n - 1""",
     "match_m8": _m(start="0") + "SELECT inst, rule_id, t FROM m UNION ALL SELECT inst, 20, i FROM series WHERE i < n - 2",
-    "verification_rows": _m(where=f"s.inst = '{TARGET}'")
+    "verification_rows": _m()
     + """SELECT m.inst, m.rule_id, m.t AS row_index, strftime(m.ts, '%Y-%m-%d') AS timestamp, pos, delay, attr || '(' || strftime(s.ts, '%Y-%m-%d') || ')' AS cell, round(m.x1, 4) AS x1, round(m.x2, 4) AS x2
   FROM m JOIN conds USING (rule_id) LEFT JOIN times s ON s.i = m.t - delay""",
     "rule_stats": _STATS_SQL.format("stddev_pop", ""),
@@ -336,15 +363,15 @@ SELECT inst, rule_id, CASE WHEN (cx > 0 AND a < -90) OR (cx < 0 AND b > 90) OR (
   WHEN cx > 0 AND cy > 0 THEN 1 WHEN cx < 0 AND cy > 0 THEN 2 WHEN cx < 0 AND cy < 0 THEN 3 WHEN cx > 0 AND cy < 0 THEN 4 ELSE 0 END AS quadrant FROM k""",
     "acceptance_test": _M1 + f"SELECT inst, rule_id, n, (n >= 20 AND concentration >= 0.8)::INT AS accepted FROM {_quad_sql('c', 'm', 'inst, rule_id').replace('>= 1.0', '>= 0.001').replace('< -1.0', '< -0.001')}",
     "mine_level1": _level_sql(1) + f"SELECT {_MINED_COLS} FROM mined",
-    "mine_level2": _level_sql(2, target=TARGET) + f"SELECT {_MINED_COLS} FROM mined",
-    "mine_level3": _level_sql(3, replace(PARAMS, min_support=0.08), TARGET) + f"SELECT {_MINED_COLS} FROM mined WHERE reject_reason <> 'support'",
-    "mine_level2_dedupe": _level_sql(2, target=TARGET) + "SELECT inst, a1, d1, a2, d2, n, round(concentration, 4) AS concentration FROM mined WHERE reject_reason = 'passed' QUALIFY row_number() OVER (PARTITION BY inst, a1, a2 ORDER BY d1, d2) = 1",
+    "mine_level2": _level_sql(2) + f"SELECT {_MINED_COLS} FROM mined",
+    "mine_level3": _level_sql(3) + f"SELECT {_MINED_COLS} FROM mined WHERE reject_reason <> 'support'",
+    "mine_level2_dedupe": _level_sql(2) + "SELECT inst, a1, d1, a2, d2, n, round(concentration, 4) AS concentration FROM mined WHERE reject_reason = 'passed' QUALIFY row_number() OVER (PARTITION BY inst, a1, a2 ORDER BY d1, d2) = 1",
     "gate_report": _level_sql(2)
     + """, g AS (SELECT inst, reject_reason, count(*) AS rules FROM mined GROUP BY ALL)
 SELECT inst, reject_reason, rules, round(100 * rules / sum(rules) OVER (PARTITION BY inst), 6) AS percent,
   reject_reason <> 'passed' AND row_number() OVER (PARTITION BY inst, reject_reason = 'passed' ORDER BY rules DESC, reject_reason) = 1 AS bottleneck FROM g""",
     "strict_gate_report": " UNION ALL ".join(
-        "SELECT * FROM (" + _level_sql(k, target=TARGET) + f"""SELECT CASE WHEN support_rate < 0.03 THEN 'support' WHEN {k} < 2 THEN 'conditions' WHEN n < 80 THEN 'count' WHEN abs(x1_mean) < 50 OR abs(x2_mean) < 50 THEN 'mean'
+        "SELECT * FROM (" + _level_sql(k) + f"""SELECT inst, CASE WHEN support_rate < 0.03 THEN 'support' WHEN {k} < 2 THEN 'conditions' WHEN n < 80 THEN 'count' WHEN abs(x1_mean) < 50 OR abs(x2_mean) < 50 THEN 'mean'
   WHEN greatest(x1_sigma, x2_sigma) > 2500 THEN 'sigma' ELSE 'passed' END AS reject_reason, count(*) AS rules, {k} AS conditions FROM mined GROUP BY ALL)"""
         for k in (1, 2)
     ),
@@ -357,12 +384,11 @@ SELECT inst, rule_id, count(*) AS support_count, round(count(*) / (n - max_d - 3
 FROM hits JOIN s3 ON i = t WHERE t >= max_d AND t < n - 3 GROUP BY inst, rule_id, n, max_d""",
     "rule_flags": _level_sql(1) + "SELECT inst, rule, support_rate >= 0.06 AS high_support, greatest(x1_sigma, x2_sigma) <= 2000 AS low_variance FROM mined",
     "q1_validation": PANEL_SQL
-    + f""", {_CONDS_SQL}, own AS (SELECT * FROM series WHERE inst = '{TARGET}'),
-kept AS (SELECT *, row_number() OVER (ORDER BY i) - 1 AS j FROM own WHERE x1 >= 0.1 AND x2 >= 0.1), moved AS (SELECT j, attr FROM kept JOIN items USING (i)),
-qh AS (SELECT rule_id, j + delay AS t, max_d FROM moved JOIN conds USING (attr) JOIN rules USING (rule_id) GROUP BY rule_id, j + delay, max_d, k HAVING count(*) = k),
-qs AS (SELECT rule_id, count(*) AS s FROM qh WHERE t >= max_d AND t < (SELECT count(*) FROM kept) GROUP BY rule_id),
+    + f""", {_CONDS_SQL}, kept AS (SELECT *, row_number() OVER (PARTITION BY inst ORDER BY i) - 1 AS j, count(*) OVER (PARTITION BY inst) AS kn FROM series WHERE x1 >= 0.1 AND x2 >= 0.1), moved AS (SELECT inst, kn, j, attr FROM kept JOIN items USING (i)),
+qh AS (SELECT inst, rule_id, j + delay AS t, max_d, kn FROM moved JOIN conds USING (attr) JOIN rules USING (rule_id) GROUP BY inst, rule_id, j + delay, max_d, kn, k HAVING count(*) = k),
+qs AS (SELECT inst, rule_id, count(*) AS s FROM qh WHERE t >= max_d AND t < kn GROUP BY inst, rule_id),
 hits AS (SELECT rule_id, i + delay AS t FROM items JOIN conds USING (attr) JOIN rules USING (rule_id) GROUP BY rule_id, i + delay, k HAVING count(*) = k),
-f AS (SELECT rule_id, n, count(*) AS total_matches, count(*) FILTER (x1 >= 0.1 AND x2 >= 0.1) AS q1_matches FROM hits JOIN own ON i = t WHERE t < n - 2 GROUP BY ALL)
-SELECT rule_id, total_matches, q1_matches, round(q1_matches / total_matches, 6) AS precision, round(total_matches / n, 6) AS full_support, (q1_matches / total_matches >= 0.32)::INT AS accepted, coalesce(s, 0) AS subset_matches
-FROM f LEFT JOIN qs USING (rule_id)""",
+f AS (SELECT inst, rule_id, n, count(*) AS total_matches, count(*) FILTER (x1 >= 0.1 AND x2 >= 0.1) AS q1_matches FROM hits JOIN series ON i = t WHERE t < n - 2 GROUP BY ALL)
+SELECT inst, rule_id, total_matches, q1_matches, round(q1_matches / total_matches, 6) AS precision, round(total_matches / n, 6) AS full_support, (q1_matches / total_matches >= 0.32)::INT AS accepted, coalesce(s, 0) AS subset_matches
+FROM f LEFT JOIN qs USING (inst, rule_id)""",
 }

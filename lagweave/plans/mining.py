@@ -1,13 +1,14 @@
 """Exhaustive mining, level by level: the deterministic counterpart of the evolutionary search.
 
-Level 1 holds the items moved by each delay; level k + 1 joins level k's surviving (rule, t) with level 1 on t, attributes
-ascending, so every rule appears once. Rules under the least support are cut between levels; support is anti-monotone as
-all levels share one range [max_delay, n - span). Candidates of a time are bounded by instruments x delays, not by rows.
+Level 1 holds the items moved by each delay. The candidates of level k are the rules of k conditions all of whose parts of k - 1
+conditions have the least support; they come from joining level k - 1 with level 1 on t, attributes ascending, so every rule
+appears once. Support is anti-monotone, as all levels share one range [max_delay, n - span), so no rule that has it is
+missed. Matches of a time are bounded by frequent items, hence by instruments x delays, not by rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lagweave.functions.quadrants import concentration, deviation_ok
@@ -20,18 +21,33 @@ def lagged(items: DataFrame, n: int, p: MiningParams) -> DataFrame:
     return items.select("attr", "i", delays.alias("delay")).select("attr", "delay", (F.col("i") + F.col("delay")).alias("t")).where(F.col("t").between(p.max_delay, n - p.future_span - 1))
 
 
+def _keys(parts: list[int], names: list[int] | None = None) -> list:
+    """Columns a, d of the conditions numbered parts, called as those numbered names."""
+    return [F.col(f"{c}{i}").alias(f"{c}{j}") for i, j in zip(parts, names or parts) for c in ("a", "d")]
+
+
 def level(items: DataFrame, n: int, k: int, p: MiningParams) -> DataFrame:
-    """Columns a1, d1, ..., ak, dk, t: the matches of all rules of k conditions on different attributes."""
-    one = lagged(items, n, p)
+    """Columns a1, d1, ..., ak, dk, t: the matches of all candidates of k conditions on different attributes."""
     least = p.min_support * (n - p.max_delay - p.future_span)
 
-    def frequent(got: DataFrame, keys: list[str]) -> DataFrame:
-        return got.join(got.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).select(*keys), keys)
+    def frequent(got: DataFrame, j: int) -> DataFrame:
+        return got.groupBy(*_keys([*range(1, j + 1)])).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).drop("_n")
 
-    got = one.select(F.col("attr").alias("a1"), F.col("delay").alias("d1"), "t")
+    got = one = lagged(items, n, p).select(F.col("attr").alias("a1"), F.col("delay").alias("d1"), "t")
+    if k > 1:
+        one = one.join(frequent(one, 1), ["a1", "d1"])
+        got = one
     for j in range(2, k + 1):
-        keys = [c for i in range(1, j) for c in (f"a{i}", f"d{i}")]
-        got = frequent(got, keys).join(one.select(F.col("attr").alias(f"a{j}"), F.col("delay").alias(f"d{j}"), "t"), "t").where(F.col(f"a{j}") > F.col(f"a{j - 1}"))
+        last = one.select(*_keys([1], [j]), "t")
+        pairs = got.join(last, "t").where(F.col(f"a{j}") > F.col(f"a{j - 1}"))
+        if j > 2:  # the parts that hold the new condition; the one without it is frequent already
+            for out in range(1, j):
+                kept = [i for i in range(1, j + 1) if i != out]
+                pairs = pairs.join(part.select(*_keys([*range(1, j)], kept)), [f"{c}{i}" for i in kept for c in "ad"], "left_semi")
+        got = pairs
+        if j < k:
+            part = frequent(got, j)
+            got = got.join(part, [f"{c}{i}" for i in range(1, j + 1) for c in "ad"])
     return got
 
 
@@ -41,7 +57,7 @@ def rule_key(k: int):
 
 
 def mined(items: DataFrame, series: DataFrame, n: int, k: int, p: MiningParams) -> DataFrame:
-    """All candidate rules of k conditions per target of series, with statistics, concentration (convention b) and the first failed gate."""
+    """All candidates of k conditions per target of series, with statistics, concentration (convention b) and the first failed gate."""
     keys = [c for i in range(1, k + 1) for c in (f"a{i}", f"d{i}")]
     got = level(items, n, k, p).join(series.select("inst", F.col("i").alias("t"), "x1", "x2"), "t").where("x1 IS NOT NULL AND x2 IS NOT NULL")
     by = ["inst", *keys]
@@ -78,11 +94,5 @@ def gate_report(rules: DataFrame) -> DataFrame:
 
 
 def dedupe(rules: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """The first rule of each key; max of a struct would do for one column, but whole rows are wanted."""
-    from pyspark.sql import Window
-
+    """The first rule of each key."""
     return rules.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_rn = 1").drop("_rn")
-
-
-def gated(items: DataFrame, series: DataFrame, n: int, k: int, p: MiningParams) -> DataFrame:
-    return mined(items, series, n, k, p).where("reject_reason = 'passed'")

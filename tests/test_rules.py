@@ -102,6 +102,72 @@ def test_evolution_is_repeatable_and_right(spark):
         assert evolution.passes(f, p)
 
 
+def test_gates_by_bitmaps_are_the_plain_ones():
+    """Rules of one to three conditions, series with unknown values, both kinds of range, against statistics row by row."""
+    r = np.random.default_rng(4)
+    n, attrs = 333, 5
+    flags, x = r.random((attrs, n)) < 0.5, r.normal(0.2, 1, n)
+    x[[0, 17, 18, 200]] = np.nan
+    p = MiningParams(min_support=0.02, min_concentration=0.32, max_deviation=1.6)
+    panel, lags = evolution.Panel(flags, x, p), p.max_delay + 1
+    rules = [tuple(sorted((int(a), int(r.integers(lags))) for a in r.choice(attrs, k, replace=False))) for k in (1, 2, 3) for _ in range(150)]
+    codes = np.full((len(rules), 3), -1)
+    for line, rule in zip(codes, rules):
+        line[: len(rule)] = sorted(a * lags + d for a, d in rule)
+    ok, rate, concentration = panel.gates(codes, np.array([max(d for _, d in rule) for rule in rules]))
+    assert 0 < ok.sum() < len(rules)
+    for i, rule in enumerate(rules):
+        s = evolution.rule_statistics(flags, x, rule, p)
+        assert ok[i] == evolution.passes(s, p)
+        assert (rate[i], concentration[i]) == (pytest.approx(s["support_rate"]), pytest.approx(s["concentration"]))
+
+
+def test_paths_spell_what_a_walk_spells():
+    r = np.random.default_rng(5)
+    n, p = 200, MiningParams(individuals=6, start_nodes=3, judgement_nodes=8, max_depth=4, min_support=0.01)
+    flags, x = r.random((3, n)) < 0.8, r.normal(0, 1, n)
+    to, attr, delay = r.integers(3, 11, (6, 11)), r.integers(0, 3, (6, 11)), r.integers(0, 6, (6, 11))
+    who, codes = evolution.paths(evolution.Panel(flags, x, p), to, attr, delay)
+    want = []
+    for i in range(6):
+        for start in range(3):
+            node, rule, seen = to[i, start], {}, []
+            for _ in range(4):
+                a, d = int(attr[i, node]), int(delay[i, node])
+                seen.append((a, d))
+                rows = [t for t in range(max(d for _, d in seen), n - 2) if all(flags[b, t - e] for b, e in seen)]
+                if len(rows) < max(1.0, p.min_support * (n - 7)):
+                    break
+                rule[a] = d
+                want.append((i, sorted(b * 6 + e for b, e in rule.items())))
+                node = to[i, node]
+    assert [(int(i), [int(v) for v in c if v >= 0]) for i, c in zip(who, codes)] == want
+
+
+def test_usage_weights_by_hand():
+    delays = evolution.Usage(2, [1] * 5, 1, 2, 5)
+    delays.add(0, 3)
+    assert delays.weights(0).tolist() == [8, 5]  # five windows of 1, and what was found
+    assert delays.weights(1).tolist() == [9, 6]  # the window opened at the refresh begins with 2, an old one of 1 has gone
+    delays.add(1)
+    assert delays.weights(2).tolist() == [9, 7]
+    for g in (3, 4):
+        assert delays.weights(g).tolist() == [9, 7]
+    assert delays.weights(5).tolist() == [6, 7]  # the find of generation 0 is five windows old
+    attributes = evolution.Usage(2, [1, 0, 0, 0, 0], 0, 1, 5)
+    assert attributes.weights(0).tolist() == [1, 1] and attributes.weights(1).tolist() == [2, 2]
+
+
+def test_tightness_is_a_fitness_of_its_own():
+    r = np.random.default_rng(3)
+    flags, x = r.random((4, 300)) < 0.4, r.normal(0, 1, 300)
+    p = MiningParams(generations=6, individuals=40, elite=10, elite_copies=4, crossover_pairs=5, start_nodes=4, judgement_nodes=20, min_support=0.05, min_concentration=0.3, max_deviation=10.0)
+    one, log1 = evolution.evolve(flags, list("abcd"), x, p, 5)
+    two, log2 = evolution.evolve(flags, list("abcd"), x, p, 5, evolution.tightness_fitness)
+    assert one and two and log1[0]["best_fitness"] != log2[0]["best_fitness"]
+    assert evolution.tightness_fitness(2, {"support_rate": 0.1, "x1_sigma": 0.999, "x2_sigma": 1.999}) == pytest.approx(6)
+
+
 def test_distributions():
     # Critical points of published tables.
     for t, df, p in ((2.228, 10, 0.05), (2.750, 30, 0.01), (12.706, 1, 0.05)):

@@ -1,16 +1,10 @@
-"""Core queries against DuckDB on the smallest tables: all of the problems and of preparation, every third of the others.
-
-EVERY_QUERY=1 runs all of them, which takes about ten minutes; the driver compares each one anyway.
-"""
-
-import os
+"""Every core query against DuckDB on the smallest tables."""
 
 import pytest
 
 from lagweave.plans import catalogue_pool, catalogue_prep, catalogue_profiles, catalogue_rules, problems
 
-STEP = 1 if os.environ.get("EVERY_QUERY") else 3
-CASES = [(n, m) for m in (problems, catalogue_prep) for n in m.ORACLE] + [(n, m) for m in (catalogue_rules, catalogue_profiles, catalogue_pool) for n in list(m.ORACLE)[::STEP]]
+CASES = [(n, m) for m in (problems, catalogue_prep, catalogue_rules, catalogue_profiles, catalogue_pool) for n in m.ORACLE]
 
 
 @pytest.mark.parametrize(("name", "module"), CASES, ids=[n for n, _ in CASES])
