@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lagweave.operators.prep import ordinals
+
 TIME_NAMES = ("T", "timestamp")
 
 
@@ -37,13 +39,10 @@ def mining_table(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(*(F.col(f"`{c}`").try_cast("tinyint").alias(c) for c in attrs), F.coalesce(F.col("X").try_cast("double"), F.lit(0.0)).alias("X"), F.col(f"`{time}`").alias("T"), F.col(f"`{time}`").try_cast("timestamp_ntz").alias("ts"))
 
 
-def table_items(table: DataFrame, order: str = "T") -> DataFrame:
-    """i, attr of the cells that are 1 in a mining table; 2 and other values are no match. Rows are numbered by time.
-
-    The numbering is one window over the table: a mining table is a single series, as long as its calendar.
-    """
+def table_items(table: DataFrame, order: str = "ts") -> DataFrame:
+    """i, attr of the cells that are 1 in a mining table; 2 and other values are no match. Rows are numbered by their distinct times, block by block; those without a time have no place."""
     attrs = [c for c, t in table.dtypes if t == "tinyint"]
-    numbered = table.withColumn("i", (F.row_number().over(Window.orderBy(order)) - 1).cast("long"))
+    numbered = table.join(ordinals(table, order), order)
     each = F.explode(F.filter(F.array(*(F.when(F.col(f"`{a}`") == 1, F.lit(a)) for a in attrs)), lambda a: a.isNotNull()))
     return numbered.select("i", each.alias("attr"))
 
@@ -62,24 +61,38 @@ def price_table(spark: SparkSession, path: str) -> DataFrame:
 KLINE = "open_ms long, open double, high double, low double, close double, volume double, close_ms long, quote_volume double, trades long, taker_base double, taker_quote double, ignored string"
 
 
-def klines(spark: SparkSession, path: str, inst: str) -> DataFrame:
-    """Twelve-column candle records without a header, to inst, ts, price: only the time and the close are read on."""
-    raw = spark.read.schema(KLINE).csv(path)
-    return raw.select(F.lit(inst).alias("inst"), F.timestamp_millis("open_ms").cast("timestamp_ntz").alias("ts"), F.col("close").alias("price"))
+def klines(spark: SparkSession, path: str, inst: str | None = None) -> DataFrame:
+    """Twelve-column candle records without a header, to inst, ts, price: only the time and the close are read on.
+
+    path: a file, or a folder of pages, which may overlap: one close stays for each time, that of the last page by name. Without inst the folder is divided into inst=... folders.
+    """
+    schema = KLINE if inst is not None else KLINE + ", inst string"
+    raw = spark.read.schema(schema).option("recursiveFileLookup", inst is not None).csv(path).where("open_ms IS NOT NULL")
+    own = F.lit(inst) if inst is not None else F.col("inst")
+    got = raw.select(own.alias("inst"), F.timestamp_millis("open_ms").cast("timestamp_ntz").alias("ts"), "close", F.input_file_name().alias("page"))
+    return got.groupBy("inst", "ts").agg(F.max_by("close", "page").alias("price"))
 
 
 def rule_pool(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Tab-separated rule pools, several files at once, with source_file; slots as text, numbers as double."""
-    raw = spark.read.csv(present(spark, paths), header=True, sep="\t").withColumn("source_file", F.input_file_name())
+    """Tab-separated rule pools, several files at once, with source_file; slots as text, numbers as double. Paths without a file are left out; with none at all the frame is empty."""
+    there = present(spark, paths)
+    if not there:
+        return spark.createDataFrame([], ", ".join([*(f"Attr{i} string" for i in range(1, 9)), "source_file string"]))
+    raw = spark.read.csv(there, header=True, sep="\t").withColumn("source_file", F.input_file_name())
     raw = raw.select(*(F.trim(F.col(f"`{c}`")).alias(c.strip()) for c in raw.columns))
     text = {"source_file", "Quadrant"} | {c for c in raw.columns if c.lower().startswith("attr")}
     return raw.select(*(F.col(f"`{c}`") if c in text else F.col(f"`{c}`").try_cast("double").alias(c) for c in raw.columns))
 
 
+def match_table(spark: SparkSession, path: str) -> DataFrame:
+    """Matches as write_matches leaves them: a condition on rule_id reads the folders of those rules alone."""
+    return spark.read.parquet(path)
+
+
 def match_files(spark: SparkSession, pattern: str) -> DataFrame:
-    """Per-rule match files rule_<id>.csv as one table, the id taken from the name; '-' is NULL."""
+    """Per-rule match files rule_<id>.csv, or folders rule_id=<id> of such files, as one table, the id taken from the name; '-' is NULL."""
     raw = spark.read.csv(pattern, header=True)
-    rule = F.regexp_extract(F.input_file_name(), r"rule_(\d+)\.csv$", 1).try_cast("int")
+    rule = F.regexp_extract(F.input_file_name(), r"/rule_(?:id=)?0*(\d+)(?:\.csv$|/[^/]*$)", 1).try_cast("int")
     numbers = [c for c in raw.columns if c.startswith("X(")]
     return raw.select(rule.alias("rule_id"), *(F.col(f"`{c}`").try_cast("double").alias(c) if c in numbers else F.col(f"`{c}`") for c in raw.columns))
 
@@ -112,3 +125,10 @@ def synthetic_prices(spark: SparkSession, insts: list[str], rows: int, seed: int
     base = spark.range(rows).withColumn("inst", F.explode(F.array(*(F.lit(i) for i in insts))))
     price = 100 + 0.01 * F.col("id") + 5 * F.sin(F.col("id") * 2 * 3.141592653589793 / 30) + normal
     return base.select("inst", F.timestamp_add("DAY", F.col("id").cast("int"), F.lit("2020-01-01").cast("timestamp_ntz")).alias("ts"), F.round(price, 2).alias("price"))
+
+
+def simulated_matches(series: DataFrame, months: list[int], weekdays: list[int], n: int, seed: int = 1) -> DataFrame:
+    """At most n rows of each instrument whose month and weekday (Monday is 1) are among those given, drawn by a hash of seed, instrument and time."""
+    fits = series.where(F.month("ts").isin(months) & (F.weekday("ts") + 1).isin(weekdays))
+    draw = F.row_number().over(Window.partitionBy("inst").orderBy(F.xxhash64(F.lit(seed), "inst", "ts"), "ts"))
+    return fits.withColumn("_draw", draw).where(F.col("_draw") <= n).drop("_draw")

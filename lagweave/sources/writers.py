@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lagweave.operators.rules import write_rule
@@ -35,7 +35,16 @@ def write_ranked(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_match_files(verification: DataFrame, path: str) -> None:
+    """The same as text with a header, '-' where a future value is absent."""
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("-")).alias(c) if c.startswith("X(") else F.col(c) for c in verification.columns]
+    verification.select(*cells).repartition("rule_id").write.mode("overwrite").partitionBy("rule_id").option("header", True).csv(path)
+
+
 def pool_summary(rules: DataFrame, n: int = 10) -> DataFrame:
-    """The first n rules as lines of text."""
-    top = rules.orderBy(F.desc("support_count"), "rule_id").limit(n)
-    return top.select(F.format_string("Rule %s: support %s (%.4f), concentration %.3f, %s", F.col("rule_id").cast("string"), F.col("support_count").cast("string"), F.col("support_rate"), F.col("concentration"), F.col("quadrant")).alias("line"))
+    """place, line: a line of totals (place 0), then the first n rules as lines of text."""
+    top = rules.orderBy(F.desc("support_count"), "rule_id").limit(n).withColumn("place", F.row_number().over(Window.orderBy(F.desc("support_count"), "rule_id")))
+    line = F.format_string("Rule %s: support %s (%.4f), concentration %.3f, %s", F.col("rule_id").cast("string"), F.col("support_count").cast("string"), F.col("support_rate"), F.col("concentration"), F.col("quadrant"))
+    total = rules.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("support_count"), F.lit(0)).alias("m"))
+    head = total.select(F.lit(0).alias("place"), F.format_string("Rules: %s, greatest support %s", F.col("n").cast("string"), F.col("m").cast("string")).alias("line"))
+    return head.unionByName(top.select("place", line.alias("line")))

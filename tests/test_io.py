@@ -38,7 +38,9 @@ def test_pool_round_trip(spark, tmp_path):
     got = readers.rule_pool(spark, [str(tmp_path / "pool" / "*.csv")])
     r = got.first()
     assert (r.Attr1, r.Attr3, r["X(t+1)_mean"], r.support_rate, r.NumAttr) == ("A_Up(t-1)", "0", 0.5, 0.25, 2.0)
-    assert writers.pool_summary(full).first().line.startswith("Rule 1: support 7")
+    lines = [r.line for r in writers.pool_summary(full).orderBy("place").collect()]
+    assert lines[0] == "Rules: 1, greatest support 7" and lines[1].startswith("Rule 1: support 7")
+    assert readers.rule_pool(spark, [str(tmp_path / "none.csv")]).count() == 0
 
 
 def test_match_files_reports_and_headerless(spark, tmp_path):
