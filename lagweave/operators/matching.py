@@ -55,15 +55,11 @@ def matches(rules: DataFrame, items: DataFrame, series: DataFrame, valid: Range
     out = out.where(F.col("t") >= (F.col("max_d") if valid.start is None else F.lit(valid.start)))
     out = out.select("rule_id", "t", *(c for c in series.columns if c != "i"))
     if empty_matches:
-        free = rules.where("k = 0").select(F.collect_list("rule_id").alias("ids"))
-        ids = free.first()[0]  # rules without conditions: at most a handful, and checked
-        if len(ids) > 1_000:
-            raise ValueError("more than 1000 rules without conditions")
-        if ids:
-            start = valid.start or 0
-            all_rows = series.where((F.col("i") >= start) & (F.col("i") < F.col("n") - valid.span))
-            ids_array = F.array(*(F.lit(x) for x in ids))
-            out = out.unionByName(all_rows.select(F.explode(ids_array).alias("rule_id"), F.col("i").alias("t"), *(c for c in series.columns if c != "i")))
+        # Such a rule takes every row, so rules meet rows in parts, and each part holds a share of the rows.
+        parts, start = 64, valid.start or 0
+        free = rules.where("k = 0").select("rule_id", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_part"))
+        every = series.where((F.col("i") >= start) & (F.col("i") < F.col("n") - valid.span)).withColumn("_part", F.pmod("i", F.lit(parts)).cast("int"))
+        out = out.unionByName(every.join(free, "_part").select("rule_id", F.col("i").alias("t"), *(c for c in series.columns if c != "i")))
     return out
 
 

@@ -16,12 +16,9 @@ def series(order: str = "i") -> Window:
     return Window.partitionBy("inst").orderBy(order)
 
 
-def instruments(prices: DataFrame, limit: int = 10_000) -> list[str]:
-    """The instruments of a panel; a panel is wide by nature, so their number is bounded and the bound is checked."""
-    got = [r[0] for r in prices.select("inst").where("inst IS NOT NULL").distinct().limit(limit + 1).collect()]
-    if len(got) > limit:
-        raise ValueError(f"more than {limit} instruments")
-    return sorted(got)
+def instruments(prices: DataFrame) -> list[str]:
+    """The instruments of a panel that is to be wide: each becomes a column, so there are no more than a table can have."""
+    return sorted(r[0] for r in prices.select("inst").where("inst IS NOT NULL").distinct().collect())
 
 
 def ordinals(times: DataFrame, ts: str = "ts", block: str = "month") -> DataFrame:
@@ -34,12 +31,18 @@ def ordinals(times: DataFrame, ts: str = "ts", block: str = "month") -> DataFram
     return distinct.join(starts, "_b").select(ts, (inside + F.col("_o")).cast("long").alias("i"))
 
 
-def dense_grid(prices: DataFrame, insts: list[str] | None = None) -> DataFrame:
-    """inst, i, ts, price for every instrument at every time of the panel (outer alignment); price is NULL where there is none."""
-    insts = insts or instruments(prices)
-    wide = prices.groupBy("ts").pivot("inst", insts).agg(F.max("price"))
-    cells = F.explode(F.array(*(F.struct(F.lit(x).alias("inst"), F.col(f"`{x}`").alias("price")) for x in insts)))
-    return wide.join(ordinals(prices), "ts").select("i", "ts", cells.alias("c")).select("c.inst", "i", "ts", "c.price")
+def dense_grid(prices: DataFrame, chunk: int = 4_096) -> DataFrame:
+    """inst, i, ts, price for every instrument at every time of the panel (outer alignment); price is NULL where there is none.
+
+    An instrument's ordinals are unrolled in chunks and meet times and prices by equal keys; no name or time comes to the driver.
+    """
+    times = ordinals(prices)
+    known = prices.where("inst IS NOT NULL").groupBy("inst", "ts").agg(F.max("price").alias("price"))
+    n = times.agg(F.count(F.lit(1)).alias("n")).withColumn("one", F.lit(1))
+    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("n") - 1, F.lit(0)), F.lit(chunk).cast("long")))
+    own = known.select("inst").distinct().withColumn("one", F.lit(1)).join(n, "one").select("inst", "n", starts.alias("s"))
+    cells = own.select("inst", F.explode(F.sequence("s", F.least(F.col("s") + chunk, F.col("n")) - 1)).alias("i"))
+    return cells.join(times, "i").join(known, ["inst", "ts"], "left").select("inst", "i", "ts", "price")
 
 
 def forward_fill(grid: DataFrame, col: str = "price") -> DataFrame:

@@ -64,7 +64,7 @@ def availability_check(spark, d):
 def prep_wide(spark, d):
     """The mining table of one target: own attributes first, then the others, X, T."""
     got = prep.discretize(order_returns(spark, d))
-    insts = sorted(r for r in prep.instruments(order_prices(spark, d)))
+    insts = prep.instruments(order_prices(spark, d))
     kinds = [F.max(k).alias(k) for k in prep.ITEM_KINDS]
     wide = got.groupBy("i", "ts").pivot("inst", insts).agg(*kinds, F.max("x").alias("X"))
     target = insts[0]

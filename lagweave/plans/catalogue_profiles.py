@@ -106,8 +106,14 @@ def anova_month(spark, d):
     return _rounded(got, 5)
 
 
+def anova_weekday(spark, d):
+    got = profiles.anova(_matches(spark, d).withColumn("day", F.weekday("ts")), BY, "day", "x1")
+    return _rounded(got, 5)
+
+
 def anova_p_value(spark, d):
-    return anova_month(spark, d).withColumn("p", f_p_value(F.col("f"), F.col("d1"), F.col("d2")))
+    got = profiles.anova(_matches(spark, d).withColumn("month", F.month("ts")), BY, "month", "x1")
+    return _rounded(got.withColumn("p", f_p_value(F.col("f"), F.col("d1"), F.col("d2"))), 4)
 
 
 def calendar_profile(spark, d):
@@ -174,34 +180,55 @@ def extreme_ranking(spark, d):
     got = _extreme(spark, d).withColumn("p", F.when(F.col("n") > 1, t_p_value(F.col("t_stat"), F.col("n") - 1)).otherwise(1.0))
     score = 10 * F.col("strength") + 5 * F.col("snr") + 3 * F.col("extremeness") + 2 * (1 - F.col("p")) + 5 * F.col("tail_rate")
     kept = got.withColumn("score", score).where("strength >= 0.3 AND snr >= 0.3 AND n >= 30 AND p < 0.05")
-    return kept.orderBy(F.col("score").desc(), *BY).limit(20)
+    return _rounded(kept.orderBy(F.col("score").desc(), *BY).limit(20), 4)
+
+
+def _spread(df, by, prefix):
+    """Of the values v by group: number, mean, variance, and mean and sum of squares of their distances from the median."""
+    med = quantiles(df, by, "v", [0.5]).select(*by, F.col("value").alias("med"))
+    dev = df.join(med, by).withColumn("dev", F.abs(F.col("v") - F.col("med")))
+    stats = {"n": F.count("v"), "mean": F.avg("v"), "var": F.var_samp("v"), "dm": F.avg("dev"), "ss": F.var_pop("dev") * F.count("v")}
+    return dev.groupBy(*by).agg(*(c.alias(f"{prefix}_{n}") for n, c in stats.items()))
 
 
 def _levene(spark, d):
-    """Per rule: the series' and the matched values, their deviations from their medians, compared by analysis of variance."""
+    """Per rule: the matched values against the whole series, which is summed up once per instrument, by the analysis of variance of their distances from their medians."""
     _, s = _panel(spark, d)
-    m = _matches(spark, d).select(*BY, F.col("x1").alias("v"), F.lit("local").alias("side"))
-    whole = m.select(*BY).distinct().join(s.select("inst", F.col("x0").alias("v")), "inst").withColumn("side", F.lit("global"))
-    both = m.unionByName(whole).where("v IS NOT NULL")
-    med = quantiles(both, [*BY, "side"], "v", [0.5]).select(*BY, "side", F.col("value").alias("med"))
-    dev = both.join(med, [*BY, "side"]).withColumn("dev", F.abs(F.col("v") - F.col("med")))
-    var = both.groupBy(*BY).pivot("side", ["global", "local"]).agg(F.var_samp("v"), F.count("v"), F.avg("v"))
-    var = var.toDF(*BY, "g_var", "g_n", "g_mean", "l_var", "l_n", "l_mean")
-    return profiles.anova(dev, BY, "side", "dev").join(var, BY)
+    local = _spread(_matches(spark, d).select(*BY, F.col("x1").alias("v")).where("v IS NOT NULL"), BY, "l")
+    got = local.join(_spread(s.select("inst", F.col("x0").alias("v")).where("v IS NOT NULL"), ["inst"], "g"), "inst")
+    n = F.col("l_n") + F.col("g_n")
+    mean = (F.col("l_n") * F.col("l_dm") + F.col("g_n") * F.col("g_dm")) / n
+    between = F.col("l_n") * (F.col("l_dm") - mean) * (F.col("l_dm") - mean) + F.col("g_n") * (F.col("g_dm") - mean) * (F.col("g_dm") - mean)
+    return got.withColumn("f", F.try_divide(between, (F.col("l_ss") + F.col("g_ss")) / (n - 2))).withColumn("d1", F.lit(1)).withColumn("d2", n - 2)
+
+
+def _welch():
+    return F.try_divide(F.col("l_mean") - F.col("g_mean"), F.sqrt(F.col("l_var") / F.col("l_n") + F.col("g_var") / F.col("g_n")))
 
 
 def local_distribution(spark, d):
     """Variance reduction, Levene statistic, Welch statistic and variance ratio of matched values against the series."""
-    got = _levene(spark, d)
-    welch = F.try_divide(F.col("l_mean") - F.col("g_mean"), F.sqrt(F.col("l_var") / F.col("l_n") + F.col("g_var") / F.col("g_n")))
-    out = got.select(*BY, F.col("l_n").alias("n"), (1 - F.sqrt("l_var") / F.sqrt("g_var")).alias("reduction"), F.col("f").alias("levene"), welch.alias("welch_t"), F.try_divide(F.col("g_var"), F.col("l_var")).alias("f_ratio"))
+    out = _levene(spark, d).select(*BY, F.col("l_n").alias("n"), (1 - F.sqrt("l_var") / F.sqrt("g_var")).alias("reduction"), F.col("f").alias("levene"), _welch().alias("welch_t"), F.try_divide(F.col("g_var"), F.col("l_var")).alias("f_ratio"))
     return _rounded(out.where("n >= 30"), 5)
 
 
+def local_significance(spark, d):
+    """The p-values of these, of the two-sided test of both variances, the effect size, and whether the variance is significantly reduced; under 30 matches there is no test."""
+    a, b = F.col("l_var") / F.col("l_n"), F.col("g_var") / F.col("g_n")
+    freedom = F.try_divide((a + b) * (a + b), a * a / (F.col("l_n") - 1) + b * b / (F.col("g_n") - 1))
+    got = _levene(spark, d).withColumn("ratio", F.try_divide(F.col("g_var"), F.col("l_var"))).withColumn("welch", _welch()).withColumn("freedom", freedom)
+    got = got.withColumn("levene_p", f_p_value(F.col("f"), F.col("d1"), F.col("d2"))).withColumn("welch_p", t_p_value(F.col("welch"), F.col("freedom"))).withColumn("upper", f_p_value(F.col("ratio"), F.col("g_n") - 1, F.col("l_n") - 1))
+    enough = F.col("l_n") >= 30
+    of = lambda c, n: F.when(enough, F.round(c, 4)).alias(n)
+    sure = (F.col("levene_p") < 0.05) & (F.col("ratio") > 1.5)
+    effect = (F.col("g_mean") - F.col("l_mean")) / F.sqrt((F.col("g_var") + F.col("l_var")) / 2)
+    return got.select(*BY, F.col("l_n").alias("n"), F.when(~enough, "insufficient").when(sure, "reduced").otherwise("not reduced").alias("verdict"), of(F.col("levene_p"), "levene_p"), of(F.col("welch_p"), "welch_p"), of(2 * F.least(F.col("upper"), 1 - F.col("upper")), "f_p"), F.round(effect, 4).alias("cohens_d"))
+
+
 def localization_score(spark, d):
     got = _levene(spark, d).withColumn("p", f_p_value(F.col("f"), F.col("d1"), F.col("d2")))
     reduction = (1 - F.col("l_var") / F.col("g_var")) * 100
-    return got.select(*BY, F.col("l_n").alias("n"), reduction.alias("reduction"), "p", localization(reduction, F.col("l_n"), F.col("p")).alias("score"))
+    return _rounded(got.select(*BY, F.col("l_n").alias("n"), reduction.alias("reduction"), "p", localization(reduction, F.col("l_n"), F.col("p")).alias("score")), 4)
 
 
 def score_temporal_rules(spark, d):
@@ -219,7 +246,7 @@ def background_population(spark, d):
 
 
 def density_x1(spark, d):
-    return profiles.density(_matches(spark, d), BY, "x1")
+    return profiles.density(_matches(spark, d), BY, "x1").select(*BY, "point", F.round("at", 4).alias("at"), F.round("density", 8).alias("density"))
 
 
 def win_table(spark, d):
@@ -233,8 +260,8 @@ def win_table(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        volatility_ranking, rolling_stats, rolling_centred, rolling_corr, cum_return, autocorr, time_bins, period_splits, match_intervals, moments_var_cvar, ecdf, ks_statistic, trend, anova_month, anova_p_value,
-        calendar_profile, pivot_month_day, rule_compare, match_years, five_numbers, series_correlation, extreme_signals, extreme_ranking, local_distribution, localization_score, score_temporal_rules, background_population, density_x1, win_table,
+        volatility_ranking, rolling_stats, rolling_centred, rolling_corr, cum_return, autocorr, time_bins, period_splits, match_intervals, moments_var_cvar, ecdf, ks_statistic, trend, anova_month, anova_weekday, anova_p_value,
+        calendar_profile, pivot_month_day, rule_compare, match_years, five_numbers, series_correlation, extreme_signals, extreme_ranking, local_distribution, local_significance, localization_score, score_temporal_rules, background_population, density_x1, win_table,
     )
 }
 
@@ -242,7 +269,55 @@ _ROLL = "CASE WHEN count(x) OVER w >= {k} THEN {e} END"
 _SQ = "quantile_cont(x1, 0.05)"
 _FRAME = " UNION ALL ".join(f"SELECT '{p}' AS part, unnest(range(1, {n + 1}))::INT AS value" for p, n in (("month", 12), ("quarter", 4), ("weekday", 7)))
 
+
+
+def f_upper_sql(f, d1, d2, steps=2000):
+    """P(F >= f) by Simpson's rule over the beta density, after the substitution of a square that takes away its pole at 0."""
+    a, b = f"(({d1}) / 2.0)", f"(({d2}) / 2.0)"
+    end = f"sqrt(({d1}) * ({f}) / (({d1}) * ({f}) + ({d2})))"
+    at = f"({end} * k / {steps})"
+    log = f"(2 * {a} - 1) * ln({at}) + ({b} - 1) * ln(1 - {at} * {at})"
+    value = f"CASE WHEN k = 0 THEN CASE WHEN {a} = 0.5 THEN 1 ELSE 0 END ELSE exp({log} - lgamma({a}) - lgamma({b}) + lgamma({a} + {b})) END"
+    first = f"CASE WHEN k = 0 AND {a} = 0.5 THEN exp(lgamma({a} + {b}) - lgamma({a}) - lgamma({b})) ELSE 1 END"
+    total = f"list_sum(list_transform(range(0, {steps + 1}), lambda k: (CASE WHEN k = 0 OR k = {steps} THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * ({first}) * ({value})))"
+    return f"(CASE WHEN ({f}) <= 0 THEN 1.0 ELSE greatest(0, 1 - 2 * {total} * {end} / {steps} / 3) END)"
+
+
+_ANOVA = """, g AS (SELECT inst, rule_id, {0} AS mo, count(x1) AS n, avg(x1) AS mu, var_pop(x1) * count(x1) AS ss FROM m GROUP BY ALL),
+t AS (SELECT *, sum(n * mu) OVER w / sum(n) OVER w AS gm FROM g WINDOW w AS (PARTITION BY inst, rule_id)),
+s AS (SELECT inst, rule_id, sum(n * (mu - gm) * (mu - gm)) AS b, sum(ss) AS wi, count(*) AS k, sum(n) AS n FROM t GROUP BY ALL),
+a AS (SELECT inst, rule_id, CASE WHEN k > 1 AND n > k THEN (b / (k - 1)) / nullif(wi / (n - k), 0) END AS f, k - 1 AS d1, n - k AS d2 FROM s)
+"""
+_LEVENE = """, b AS (SELECT inst, rule_id, x1 AS v, 'local' AS side FROM m UNION ALL SELECT s.inst, rule_id, x0, 'global' FROM series s JOIN (SELECT DISTINCT inst, rule_id FROM m) USING (inst)),
+e AS (SELECT *, abs(v - median(v) OVER (PARTITION BY inst, rule_id, side)) AS dev FROM b WHERE v IS NOT NULL),
+g AS (SELECT inst, rule_id, side, count(v) AS n, avg(v) AS mu, var_samp(v) AS va, avg(dev) AS dm, var_pop(dev) * count(v) AS ss FROM e GROUP BY ALL),
+t AS (SELECT *, sum(n * dm) OVER w / sum(n) OVER w AS gm FROM g WINDOW w AS (PARTITION BY inst, rule_id)),
+s AS (SELECT inst, rule_id, sum(n * (dm - gm) * (dm - gm)) AS bt, sum(ss) AS wi, sum(n) AS n, max(n) FILTER (side = 'local') AS ln, max(n) FILTER (side = 'global') AS gn, max(va) FILTER (side = 'local') AS lv, max(va) FILTER (side = 'global') AS gv,
+  max(mu) FILTER (side = 'local') AS lm, max(mu) FILTER (side = 'global') AS gmu FROM t GROUP BY ALL),
+l AS (SELECT *, bt / nullif(wi / (n - 2), 0) AS f, n - 2 AS d2, (lm - gmu) / nullif(sqrt(lv / ln + gv / gn), 0) AS wt, pow(lv / ln + gv / gn, 2) / nullif(pow(lv / ln, 2) / (ln - 1) + pow(gv / gn, 2) / (gn - 1), 0) AS wf, gv / nullif(lv, 0) AS ratio FROM s)
+"""
+_SIGNALS = """, g AS (SELECT inst, stddev_samp(x0) AS g FROM series GROUP BY inst),
+a AS (SELECT inst, rule_id, g, count(*) AS n, avg(x0) AS mu, coalesce(stddev_samp(x0), 0) AS s, avg((abs(x0) > 2 * g)::INT) AS tail_rate FROM m JOIN g USING (inst) WHERE x0 IS NOT NULL GROUP BY ALL),
+x AS (SELECT inst, rule_id, n, abs(mu) AS strength, abs(mu) / (s + 1e-6) AS snr, abs(mu) / nullif(g, 0) AS extremeness, CASE WHEN n > 1 THEN mu / nullif(s / sqrt(n), 0) ELSE 0 END AS t_stat, tail_rate FROM a),
+y AS (SELECT *, CASE WHEN n > 1 THEN {p} ELSE 1.0 END AS p FROM x), z AS (SELECT *, 10 * strength + 5 * snr + 3 * extremeness + 2 * (1 - p) + 5 * tail_rate AS score FROM y)
+""".format(p=f_upper_sql("t_stat * t_stat", "1", "n - 1"))
+_SIGNAL_COLS = "inst, rule_id, n, " + ", ".join(f"round({c}, 4) AS {c}" for c in ("strength", "snr", "extremeness", "t_stat", "tail_rate", "p", "score"))
+
 ORACLE = {
+    "anova_weekday": _M1 + _ANOVA.format("isodow(ts)") + "SELECT inst, rule_id, round(f, 5) AS f, d1, d2 FROM a",
+    "anova_p_value": _M1 + _ANOVA.format("month(ts)") + f"SELECT inst, rule_id, round(f, 4) AS f, d1, d2, round({f_upper_sql('f', 'd1', 'd2')}, 4) AS p FROM a",
+    "local_significance": _M1 + _LEVENE + f""", q AS (SELECT *, {f_upper_sql('f', '1', 'd2')} AS lp, {f_upper_sql('wt * wt', '1', 'wf')} AS wp, {f_upper_sql('ratio', 'gn - 1', 'ln - 1')} AS up FROM l)
+SELECT inst, rule_id, ln AS n, CASE WHEN ln < 30 THEN 'insufficient' WHEN lp < 0.05 AND ratio > 1.5 THEN 'reduced' ELSE 'not reduced' END AS verdict, CASE WHEN ln >= 30 THEN round(lp, 4) END AS levene_p, CASE WHEN ln >= 30 THEN round(wp, 4) END AS welch_p,
+  CASE WHEN ln >= 30 THEN round(2 * least(up, 1 - up), 4) END AS f_p, round((gmu - lm) / sqrt((gv + lv) / 2), 4) AS cohens_d FROM q""",
+    "localization_score": _M1 + _LEVENE + f""", q AS (SELECT *, {f_upper_sql('f', '1', 'd2')} AS p, (1 - lv / gv) * 100 AS reduction FROM l)
+SELECT inst, rule_id, ln AS n, round(reduction, 4) AS reduction, round(p, 4) AS p, round(CASE WHEN ln < 5 THEN '-inf'::DOUBLE ELSE least(reduction, 50) + CASE WHEN ln < 10 THEN 2.0 * ln WHEN ln <= 100 THEN 20 ELSE greatest(0, 20 - (ln - 100) * 0.1) END
+  + CASE WHEN p < 0.01 THEN 30 WHEN p < 0.05 THEN 20 WHEN p < 0.1 THEN 10 ELSE 0 END END, 4) AS score FROM q""",
+    "extreme_ranking": _M1.replace("h.t < s.n - 2", "h.t < s.n - 0") + _SIGNALS + f"SELECT {_SIGNAL_COLS} FROM (SELECT * FROM z WHERE strength >= 0.3 AND snr >= 0.3 AND n >= 30 AND p < 0.05 ORDER BY score DESC, inst, rule_id LIMIT 20)",
+    "density_x1": _M1
+    + """, s AS (SELECT inst, rule_id, count(x1) AS n, min(x1) AS lo, max(x1) AS hi, stddev_samp(x1) AS sd FROM m WHERE x1 IS NOT NULL GROUP BY ALL HAVING stddev_samp(x1) > 0),
+c AS (SELECT inst, rule_id, least(floor((x1 - lo) / nullif((hi - lo) / 2048, 0)), 2047) AS b, s.n, lo, hi, sd, count(*) AS c, avg(x1) AS v FROM m JOIN s USING (inst, rule_id) WHERE x1 IS NOT NULL GROUP BY ALL),
+p AS (SELECT *, lo + (hi - lo) * k.point / 63 AS "at", sd * pow(n, -0.2) AS h FROM c, (SELECT unnest(range(64))::INT AS point) k)
+SELECT inst, rule_id, point, round("at", 4) AS "at", round(sum(c * exp(-pow(("at" - v) / h, 2) / 2) / h) / max(n) / 2.5066282746310002::DOUBLE, 8) AS density FROM p GROUP BY inst, rule_id, point, "at" """,
     "volatility_ranking": PANEL_SQL
     + """SELECT inst, round(volatility, 4) AS volatility, round(mean_x, 4) AS mean_x, round(abs_mean_x, 4) AS abs_mean_x, round(min_x, 4) AS min_x, round(max_x, 4) AS max_x, round(max_x - min_x, 4) AS range_x, n,
   round(within_1, 4) AS within_1, round(within_2, 4) AS within_2, round(within_5, 4) AS within_5, round(q25, 4) AS q25, round(median_x, 4) AS median_x, round(q75, 4) AS q75, row_number() OVER (ORDER BY volatility DESC, inst) AS place

@@ -175,6 +175,7 @@ def test_distributions():
     for f, a, b, p in ((4.10, 2, 10, 0.05), (2.76, 4, 25, 0.05), (10.04, 1, 10, 0.01)):
         assert f_upper(f, a, b) == pytest.approx(p, abs=3e-4)
     assert t_two_sided(float("inf"), 5) == 0 and f_upper(-1, 2, 3) == 1
+    assert np.isnan(t_two_sided([1.0, np.nan, 1.0], [3.0, 3.0, 0.0])).tolist() == [False, True, True]
 
 
 def test_normal_cdf(spark):
