@@ -29,6 +29,12 @@ def gnp_trials(spark, d):
     return evolution.trial_statistics(evolution.mine(items, series, PARAMS))
 
 
+def gnp_tightness(spark, d):
+    """The same search by the alternative fitness, which asks for narrow distributions; the pool of all trials."""
+    items, series = _panel(spark, d)
+    return evolution.merged_pool(evolution.mine(items, series, PARAMS, credit=evolution.tightness_fitness))
+
+
 CLUSTERED = ["x_mean", "x_sigma", "x2_mean", "x2_sigma", "concentration"]
 
 
@@ -58,5 +64,5 @@ def principal_components(spark, d):
     return got.select("rule_id", F.col("pc")[0].alias("pc1"), F.col("pc")[1].alias("pc2"))
 
 
-QUERIES = {f.__name__: f for f in (gnp_mine, gnp_pool, gnp_log, gnp_trials, cluster_rules, principal_components)}
+QUERIES = {f.__name__: f for f in (gnp_mine, gnp_pool, gnp_log, gnp_trials, gnp_tightness, cluster_rules, principal_components)}
 ORACLE: dict[str, str] = {}

@@ -15,13 +15,13 @@ from dataclasses import asdict
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lagweave.params import MiningParams
 from lagweave.session import stored
 
-SCHEMA = "inst string, trial int, seq int, generation int, rule string, k int, max_d int, support_count long, support_rate double, concentration double, quadrant string, x1_mean double, x1_sigma double, x1_min double, x1_max double, x2_mean double, x2_sigma double, x2_min double, x2_max double, high_support boolean"
+SCHEMA = "inst string, trial int, seq int, generation int, rule string, k int, max_d int, support_count long, support_rate double, concentration double, quadrant string, x1_mean double, x1_sigma double, x1_min double, x1_max double, x2_mean double, x2_sigma double, x2_min double, x2_max double, high_support boolean, low_variance boolean"
 LOG = "inst string, trial int, generation int, rules int, best_fitness double, mean_fitness double"
 
 
@@ -304,7 +304,7 @@ def mine(items: DataFrame, series: DataFrame, p: MiningParams, log: bool = False
                     yield pd.DataFrame([{"inst": row.inst, "trial": row.trial} | s for s in lines], columns=[c.split()[0] for c in LOG.split(", ")])
                 else:
                     for s in rules:
-                        s |= {"inst": row.inst, "trial": row.trial, "high_support": s["support_rate"] >= q.high_support_multiplier * q.min_support, "rule": " & ".join(f"{names[a]}(t-{d})" for a, d in s["rule"])}
+                        s |= {"inst": row.inst, "trial": row.trial, "high_support": s["support_rate"] >= q.high_support_multiplier * q.min_support, "low_variance": max(s["x1_sigma"], s["x2_sigma"]) <= q.low_variance_multiplier * q.max_sigma, "rule": " & ".join(f"{names[a]}(t-{d})" for a, d in s["rule"])}
                     yield pd.DataFrame(rules, columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
     return tasks.repartition(tasks_at_once(tasks, p)).mapInPandas(run, LOG if log else SCHEMA)
@@ -323,9 +323,7 @@ def merged_pool(rules: DataFrame) -> DataFrame:
 
 
 def trial_statistics(rules: DataFrame) -> DataFrame:
-    """Rules and well supported rules of each trial, and their running totals."""
-    from pyspark.sql import Window
-
-    got = rules.groupBy("inst", "trial").agg(F.count(F.lit(1)).alias("rules"), F.count_if("high_support").alias("high_support"))
+    """Rules, well supported and narrow rules of each trial, and running totals."""
+    got = rules.groupBy("inst", "trial").agg(F.count(F.lit(1)).alias("rules"), F.count_if("high_support").alias("high_support"), F.count_if("low_variance").alias("low_variance"))
     w = Window.partitionBy("inst").orderBy("trial").rowsBetween(Window.unboundedPreceding, 0)
-    return got.select("*", F.sum("rules").over(w).alias("total_rules"), F.sum("high_support").over(w).alias("total_high_support"))
+    return got.select("*", F.sum("rules").over(w).alias("total_rules"), F.sum("high_support").over(w).alias("total_high_support"), F.sum("low_variance").over(w).alias("total_low_variance"))
