@@ -91,6 +91,23 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.join(table(spark, sf_dir, "pack_sizes").select("pack_id", "capacity_tokens"), "pack_id").withColumn("used", F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")))
 
 
+def p8_checks(spark: SparkSession, sf_dir: str, folder: str = FOLDER) -> DataFrame:
+    """The rules of packing, counted per pack: texts and their ids, containers over their capacity, texts divided that need not be, texts whose
+    pieces are not their size, and whether the share of room used reaches what is there to fill: 0.98 of the containers, but for one.
+    """
+    packs = table(spark, sf_dir, "pack_sizes").select("pack_id", "tokenizer", F.col("capacity_tokens").alias("capacity"))
+    names = [r[0] for r in packs.select("tokenizer").distinct().orderBy("tokenizer").toLocalIterator() if encoder(folder, r[0])]
+    wanted = count_tokens(table(spark, sf_dir, "documents"), names, folder=folder).join(packs, "tokenizer")
+    got = stored(p8_containers(spark, sf_dir, folder))
+    texts = got.groupBy("pack_id", "item_id").agg(F.sum("room").alias("room"), F.count(F.lit(1)).alias("pieces"))
+    one = wanted.join(texts.withColumnRenamed("item_id", "doc_id"), ["pack_id", "doc_id"], "left").groupBy("pack_id").agg(
+        F.count(F.lit(1)).alias("texts"), F.countDistinct("doc_id").alias("ids"), F.count_if((F.col("pieces") > 1) & (F.col("size") <= F.col("capacity"))).cast("int").alias("divided"), F.count_if(~F.col("room").eqNullSafe(F.col("size"))).cast("int").alias("wrong_sizes"),
+    )
+    bins = got.where("container IS NOT NULL").groupBy("pack_id", "container").agg(F.sum("room").alias("room")).join(packs, "pack_id")
+    two = bins.groupBy("pack_id", "capacity").agg(F.count_if(F.col("room") > F.col("capacity")).cast("int").alias("overfull"), F.sum("room").alias("used"), F.count(F.lit(1)).alias("n"))
+    return one.join(two.select("pack_id", "overfull", (F.col("used") >= 0.98 * F.col("capacity") * (F.col("n") - 1)).alias("well_filled")), "pack_id")
+
+
 #: Bounds of what the network is fitted on: sentences of the reference, and loosely labelled texts of at most so many characters.
 FIT_REFERENCE, FIT_TEXTS, FIT_CHARS = 20_000, 1_500, 600
 
@@ -136,4 +153,4 @@ def p9_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_rules, p4_found, p6_percentiles, p6_day_bounds, p7_ids, p7_roundtrip, p8_containers, p8_fill, p9_found, p9_documents)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_rules, p4_found, p6_percentiles, p6_day_bounds, p7_ids, p7_roundtrip, p8_containers, p8_fill, p8_checks, p9_found, p9_documents)}

