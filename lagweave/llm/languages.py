@@ -135,9 +135,9 @@ def windows(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     ends = np.cumsum(sizes)
     start = np.repeat(ends - sizes, n) + (np.arange(n.sum()) - np.repeat(first, n)) * STRIDE
     at = start[:, None] + np.arange(WINDOW)
-    buffer = np.frombuffer(b"".join(raws) + b" ", np.uint8)
+    buffer = np.frombuffer(b"".join(raws) + b" ", np.uint8).astype(np.int16)  # a byte has no place for the padding
     inside = at < np.repeat(ends, n)[:, None]
-    return np.where(inside, buffer[np.where(inside, at, 0)], PADDING).astype(np.int16), n
+    return np.where(inside, buffer[np.where(inside, at, 0)], np.int16(PADDING)), n
 
 
 def train(labelled: list[tuple[str, str]], steps: int = 500, batch: int = 128, seed: int = 7, net: ByteNet | None = None) -> ByteNet:
