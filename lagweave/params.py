@@ -33,4 +33,3 @@ class MiningParams:
     refresh_bonus: int = 2
     max_rules_per_trial: int = 2002
     dedupe_by_delay: bool = False  # within a trial; across trials delays always count
-    start_rule: str = "rule"  # rule: from the rule's own greatest delay; global: from max_delay

@@ -93,7 +93,7 @@ def score_normalized(spark, d):
 
 
 def global_top_rules(spark, d):
-    """The ten best rules by each of three scores, with a summary of their conditions."""
+    """The ten best rules by each of three scores, and how many conditions they have, however written."""
     p = with_scores(pool(spark, d))
     kinds = ("score_2d", "score_t1", "score_t2")
     tops = []
@@ -101,9 +101,9 @@ def global_top_rules(spark, d):
         best = p.where(F.col(k).isNotNull()).orderBy(F.col(k).desc(), "rule_id").limit(10)
         tops.append(best.select(F.lit(k).alias("kind"), "rule_id", "pool_id", *(f"attr{i}" for i in range(1, 9)), F.col(k).alias("score")))
     got = tops[0].unionByName(tops[1]).unionByName(tops[2])
-    parsed = parse_rules(got.select("rule_id", *(f"attr{i}" for i in range(1, 9))).dropDuplicates(["rule_id"]), [f"attr{i}" for i in range(1, 9)])
+    parsed = parse_rules(got.select("rule_id", *(f"attr{i}" for i in range(1, 9))).dropDuplicates(["rule_id"]), [f"attr{i}" for i in range(1, 9)], any_writing=True)
     rank = F.row_number().over(Window.partitionBy("kind").orderBy(F.col("score").desc(), "rule_id"))
-    return got.join(parsed, "rule_id").select("kind", rank.alias("place"), "rule_id", "pool_id", F.size("conds").alias("plain_conditions"), F.round("score", 8).alias("score"))
+    return got.join(parsed, "rule_id").select("kind", rank.alias("place"), "rule_id", "pool_id", F.size("conds").alias("conditions"), F.round("score", 8).alias("score"))
 
 
 def conditions_summary(spark, d):
@@ -360,7 +360,6 @@ _QUALITY = """, parts AS (SELECT *, CASE WHEN (x_sigma + x2_sigma) / 2 <= 0.30 T
   CASE WHEN support_count >= 15 THEN 20 WHEN support_count >= 12 THEN 15 WHEN support_count >= 10 THEN 10 ELSE 5 END AS reliability FROM pool)
 """
 _LONG = ", long AS (" + " UNION ALL ".join(f"SELECT symbol, rule_id, '{f}' AS feature, {f} AS v FROM pool WHERE {f} IS NOT NULL" for f in FEATURES) + ")"
-_PLAIN = "list_filter(list_transform([" + ", ".join(f"attr{i}" for i in range(1, 9)) + "], lambda a: regexp_replace(coalesce(a, ''), '^\\s+|\\s+$', '', 'g')), lambda a: regexp_matches(a, '(?s)^(.+)\\(t-(\\d+)\\)$'))"
 _SORTS = {"support": "support_count::DOUBLE", "strength": "abs(x_mean)", "snr": "abs(x_mean) / nullif(x_sigma, 0)", "t": "abs(t_statistic)", "composite": "abs(t_statistic) * ln(1 + support_count)", "discovery": "-rule_id::DOUBLE"}
 _KEYS = "experiment, max_time_delay, minsup, min_concentration, max_deviation"
 _CALM = "CASE quadrant WHEN 'Q1' THEN x1_min >= -{0} AND x2_min >= -{0} WHEN 'Q2' THEN x1_max <= {0} AND x2_min >= -{0} WHEN 'Q3' THEN x1_max <= {0} AND x2_max <= {0} WHEN 'Q4' THEN x1_min >= -{0} AND x2_max <= {0} ELSE false END".format("max_deviation")
@@ -384,8 +383,8 @@ UNION ALL (SELECT 'deviation', rule_id, round(score, 8) FROM s WHERE score IS NO
   round(CASE WHEN x_sigma * x2_sigma > 1e-10 THEN support_rate / (x_sigma * x2_sigma) ELSE 0 END, 6) AS product_score FROM v""",
     "score_normalized": _P + "SELECT rule_id, round(ln(1 + support_count) / ((x_sigma - min(x_sigma) OVER ()) / (max(x_sigma) OVER () - min(x_sigma) OVER ()) + (x2_sigma - min(x2_sigma) OVER ()) / (max(x2_sigma) OVER () - min(x2_sigma) OVER ()) + 0.01), 6) AS score FROM pool",
     "global_top_rules": _SCORED
-    + f", c AS (SELECT *, len({_PLAIN})::INT AS plain_conditions FROM scored) "
-    + " UNION ALL ".join(f"(SELECT '{k}' AS kind, row_number() OVER (ORDER BY {k} DESC, rule_id)::INT AS place, rule_id, pool_id, plain_conditions, round({k}, 8) AS score FROM c WHERE {k} IS NOT NULL ORDER BY {k} DESC, rule_id LIMIT 10)" for k in ("score_2d", "score_t1", "score_t2")),
+    + f", c AS (SELECT *, len(list_filter({_normal_sql()}, lambda a: a NOT IN ('', '0')))::INT AS conditions FROM scored) "
+    + " UNION ALL ".join(f"(SELECT '{k}' AS kind, row_number() OVER (ORDER BY {k} DESC, rule_id)::INT AS place, rule_id, pool_id, conditions, round({k}, 8) AS score FROM c WHERE {k} IS NOT NULL ORDER BY {k} DESC, rule_id LIMIT 10)" for k in ("score_2d", "score_t1", "score_t2")),
     "conditions_summary": f"""WITH t AS (SELECT rule_id, list_transform({_normal_sql()}, lambda a: CASE WHEN a NOT IN ('', '0') THEN CASE WHEN regexp_matches(a, '^.+t[0-9]+$') THEN regexp_extract(a, '^(.+)t([0-9]+)$', 1) || '(t-' || regexp_extract(a, '^(.+)t([0-9]+)$', 2)::INT || ')' ELSE a END END) AS l FROM zrp01a),
 g AS (SELECT rule_id, l, coalesce(list_position(list_transform(l, lambda a: a IS NULL), true), 9) - 1 AS k FROM t), h AS (SELECT rule_id, k, CASE WHEN k > 0 THEN l[1:least(k, 3)] ELSE [] END AS s FROM g)
 SELECT rule_id, k::INT AS k, array_to_string(s, ', ') || CASE WHEN k > 3 THEN ' ... (+' || (k - 3) || ')' ELSE '' END AS summary FROM h""",
